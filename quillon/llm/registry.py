@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from quillon.llm.mixing import op7_mixing
+from quillon.llm.near_dedup import op3_near_dedup
+from quillon.llm.records import op6_token_records
 from quillon.llm.token_count import op10_token_counts
 
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
+    "op6_token_records": op6_token_records,
+    "op7_mixing": op7_mixing,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
