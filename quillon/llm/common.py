@@ -68,7 +68,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's bytes, from file sizes; only sets numbers of partitions and buckets."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return min(int(size), 1 << 50)
 
 

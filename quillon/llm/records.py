@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -28,7 +29,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Memo, planned_bytes, prepared, ragged, shared_path
+from quillon.llm import scan
+from quillon.llm.common import planned_bytes, prepared, ragged, shared_path
+from quillon.llm.token_count import byte_characters
 
 END_ID = 1
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n_ids", "<u8"), ("start", "<u8")])
@@ -52,13 +55,14 @@ def _crc_tables() -> np.ndarray:
     return tables
 
 
-def _crc_zeros(crc: np.ndarray, n_bytes: int) -> np.ndarray:
-    """The raw registers after n_bytes zero bytes, by squaring the linear map of one zero byte."""
-    columns = _zero_maps(n_bytes.bit_length())
-    for k in range(n_bytes.bit_length()):
-        if n_bytes >> k & 1:
-            crc = np.bitwise_xor.reduce(np.where(crc[:, None] >> np.arange(32, dtype=np.uint32) & 1, columns[k][None, :], 0), axis=1).astype(np.uint32)
-    return crc
+def _crc_zeros(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """The raw registers after n_bytes zero bytes each, by squaring the linear map of one zero byte."""
+    columns = _zero_maps(int(n_bytes.max()).bit_length()) if len(n_bytes) else []
+    out = crc.copy()
+    for k, column in enumerate(columns):
+        rows = np.flatnonzero(n_bytes >> k & 1)
+        out[rows] = np.bitwise_xor.reduce(np.where(out[rows][:, None] >> np.arange(32, dtype=np.uint32) & 1, column[None, :], 0), axis=1).astype(np.uint32)
+    return out
 
 
 @lru_cache(maxsize=64)
@@ -101,13 +105,10 @@ def crc32c(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out, firsts = np.zeros(len(lengths), np.uint32), ragged(n_pieces)[:-1]
     for j in range(int(n_pieces.max())):
         rows = np.flatnonzero(n_pieces > j)
-        before = out[rows] if not j else _crc_zeros(out[rows], PIECE)
+        before = out[rows] if not j else _crc_zeros(out[rows], np.full(len(rows), PIECE))
         out[rows] = before ^ crc[firsts[rows] + j]
     # a register that begins with all ones adds the effect of those ones through all bytes of the row
-    ones = np.zeros(len(lengths), np.uint32)
-    for n in np.unique(lengths):
-        ones[lengths == n] = _crc_zeros(np.array([0xFFFFFFFF], np.uint32), int(n))[0]
-    out = out ^ ones ^ np.uint32(0xFFFFFFFF)
+    out = out ^ _crc_zeros(np.full(len(lengths), 0xFFFFFFFF, np.uint32), lengths) ^ np.uint32(0xFFFFFFFF)
     return np.where(lengths > 0, out, 0).astype(np.uint32)
 
 
@@ -120,21 +121,35 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 
 class Ragged:
-    """Rows of ids: flat values and offsets."""
+    """Growing rows of ids: flat values and offsets."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self._flat, self._offsets = flat.astype(np.uint32), ragged(lengths)
+        self.n, self.size = len(lengths), len(flat)
 
-    def __init__(self, rows: list[list[int]]):
-        self.offsets = ragged(np.fromiter(map(len, rows), np.int64, len(rows)))
-        self.flat = np.fromiter((i for r in rows for i in r), np.uint32, int(self.offsets[-1]))
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat[: self.size]
 
-    @classmethod
-    def joined(cls, a: Ragged, b: Ragged) -> Ragged:
-        out = cls([])
-        out.flat, out.offsets = np.concatenate([a.flat, b.flat]), np.concatenate([a.offsets, b.offsets[1:] + a.offsets[-1]])
-        return out
+    @property
+    def offsets(self) -> np.ndarray:
+        return self._offsets[: self.n + 1]
 
+    def extend(self, more: Ragged) -> Ragged:
+        if self.size + more.size > len(self._flat):
+            self._flat = np.concatenate([self.flat, np.zeros(self.size + 2 * more.size, np.uint32)])
+        if self.n + more.n + 1 > len(self._offsets):
+            self._offsets = np.concatenate([self.offsets, np.zeros(self.n + 2 * more.n, np.int64)])
+        self._flat[self.size : self.size + more.size] = more.flat
+        self._offsets[self.n + 1 : self.n + 1 + more.n] = more.offsets[1:] + self.size
+        self.n, self.size = self.n + more.n, self.size + more.size
+        return self
 
-class _WordMemo(Memo):
-    join = staticmethod(Ragged.joined)
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of rows `at` in turn, and how many each row has."""
+        first = self._offsets[at]
+        counts = self._offsets[at + 1] - first
+        return self._flat[np.repeat(first - ragged(counts)[:-1], counts) + np.arange(int(counts.sum()))], counts
 
 
 class Encoder:
@@ -146,7 +161,7 @@ class Encoder:
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -156,71 +171,74 @@ class Encoder:
         if kinds != ["NFC", "Replace", "Lowercase"] or splits[0].get("pattern", {}).get("Regex") != self.PATTERN or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: its normaliser or pre-tokenizer is not known")
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.pattern = self.tokenizer.model, regex.compile(self.PATTERN)
+        self.model, self.pattern = self.tokenizer.model, regex.compile(self.PATTERN.replace(r"\s", r"\p{White_Space}"))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.marks = {k[:2].encode() for k in self.special}
         self.wide = max(max(spec["model"]["vocab"].values()), *self.special.values(), END_ID) > 0xFFFF
-        from quillon.llm.token_count import byte_characters
-
         self.shown = dict(enumerate(byte_characters()))
-        self.pieces: dict[str, list[int]] = {}
-        self.limit, self.memo = limit, _WordMemo(self._words, limit)
+        self.limit, self.memo = limit, scan.Memo(self._words, limit, Ragged.extend)
+        self._forget()
 
-    def _words(self, new: list[str]) -> Ragged:
+    def _forget(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.piece_ids = Ragged(np.zeros(0), np.zeros(0, np.int64))
+
+    def _words(self, new: list[bytes]) -> Ragged:
         # lower-cased character by character, as the library does: no special final sigma
-        text = unicodedata.normalize("NFC", " ".join(new)).replace("Σ", "σ").lower()
-        if len(self.pieces) > self.limit:
-            self.pieces = {}
-        known, out = self.pieces, []
-        for word in text.split(" "):
-            ids: list[int] = []
-            for piece in (word,) if word.isalpha() else self.pattern.findall(word):
-                found = known.get(piece)
-                if found is None:
-                    shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.shown)
-                    found = known[piece] = [t.id for t in self.model.tokenize(shown)]
-                ids += found
-            out.append(ids)
-        return Ragged(out)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        text = unicodedata.normalize("NFC", b" ".join(new).decode("utf-8")).replace("Σ", "σ").lower()
+        split = self.pattern.findall
+        found = [(w,) if w.isalpha() else split(w) for w in text.split(" ")]
+        fresh = set(chain.from_iterable(found)).difference(self.pieces)
+        if len(self.pieces) + len(fresh) > self.limit:
+            self._forget()
+            fresh = set(chain.from_iterable(found))
+        fresh = list(fresh)
+        shown = [p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.shown) for p in fresh]
+        ids = [[t.id for t in self.model.tokenize(p)] for p in shown]
+        self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh))))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.piece_ids.extend(Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths))
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+        flat, counts = self.piece_ids.rows(at)
+        return Ragged(flat, scan.text_sums(counts, n))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, with END_ID after each text; number of ids of each text)."""
-        rows: list[list[str]] = []
-        for text in texts:
-            if not text:
-                rows.append([])
-            elif self.cut and "<|" in text and self.cut.search(text):
-                rows.append([w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else part.split())])
+        flats, counts = [], []
+        for first, last, block in scan.blocks(texts):
+            data = block.data.tobytes()
+            if any(m in data for m in self.marks) and self.cut.search(data.decode("utf-8")):
+                parts = [self._cut_out(texts[i].as_py() or "") for i in range(first, last)]
+                flat, n = np.concatenate([p for p in parts]), np.fromiter(map(len, parts), np.int64, len(parts))
             else:
-                rows.append(text.split())
-        ends = np.fromiter(map(len, rows), np.int64, len(rows))
-        rows = [r + ["\n"] for r in rows]  # stands for the end id; no word is a line feed
-        values, at = self.memo(rows)
-        counts = np.diff(values.offsets)[at]
-        flat = np.repeat(values.offsets[at] - ragged(counts)[:-1], counts) + np.arange(int(counts.sum()))
-        per_text = np.add.reduceat(counts, ragged(ends + 1)[:-1]) if len(rows) else counts
-        return values.flat[flat], per_text
-
-
-def _special_words(encoder: Encoder) -> None:
-    """The end mark and special strings get their ids without the model."""
-    inner = encoder._words
-
-    def words(new: list[str]) -> Ragged:
-        fixed = {"\n": [END_ID]} | {k: [v] for k, v in encoder.special.items()}
-        got = inner(["a" if w in fixed else w for w in new])
-        if not any(w in fixed for w in new):
-            return got
-        return Ragged([fixed[w] if w in fixed else got.flat[got.offsets[i] : got.offsets[i + 1]].tolist() for i, w in enumerate(new)])
-
-    encoder.memo.compute = words
+                flat, n = self._block(block)
+            flats.append(np.insert(flat, ragged(n)[1:], END_ID))
+            counts.append(n + 1)
+        return (np.concatenate(flats), np.concatenate(counts)) if counts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _block(self, block: scan.Block) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = scan.words(block)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(block.offsets) - 1, np.int64)
+        at = self.memo(block, starts, ends)
+        flat, n = self.memo.values.rows(at)
+        return flat, scan.text_sums(n, block.per_text(starts))
+
+    def _cut_out(self, text: str) -> np.ndarray:
+        out = []
+        for i, part in enumerate(self.cut.split(text)):
+            if i % 2:
+                out.append(np.array([self.special[part]], np.uint32))
+            else:
+                out += [self._block(b)[0] for _, _, b in scan.blocks(pa.array([part]))]
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    out = Encoder(path)
-    _special_words(out)
-    return out
+    return Encoder(path)
 
 
 # --- files -------------------------------------------------------------------------------------------------------------------
@@ -311,7 +329,7 @@ def _writer(uri: str, tokenizer: str):
                     number = int(numbers[a])
                     shard = _Shard(fs, f"{root}/shard-{number:05d}")
                 part = batch.slice(a, b - a)
-                shard.add(part.column(1), *enc.encode(part.column(2).to_pylist()), enc.wide)
+                shard.add(part.column(1), *enc.encode(part.column(2)), enc.wide)
         if shard is not None:
             close()
         if done:

@@ -104,7 +104,7 @@ class Counter:
         column = lambda f: np.array([ids[f(a, b)] for a, b in pairs])
         self.table = PairTable(column(lambda a, b: a), column(lambda a, b: b), column(lambda a, b: a + b))
         self.byte_id = np.array([ids[c] for c in byte_characters()], np.int32)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memo = Memo(self._units, limit)
