@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.decontaminate import OP8_SQL, op8_decontamination
 from quillon.llm.mixing import op7_mixing
 from quillon.llm.near_dedup import op3_near_dedup
 from quillon.llm.records import op6_token_records
@@ -11,6 +12,9 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op6_token_records": op6_token_records,
     "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": OP8_SQL,
+}
