@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm.decontaminate import OP8_SQL, op8_decontamination
+from quillon.llm.fingerprint import op2_fingerprints
 from quillon.llm.language_id import op9_language_id
 from quillon.llm.mixing import op7_mixing
 from quillon.llm.near_dedup import op3_near_dedup
@@ -13,6 +14,7 @@ from quillon.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_fingerprints": op2_fingerprints,
     "op3_near_dedup": op3_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,

@@ -54,7 +54,7 @@ class Block:
         return np.diff(np.searchsorted(starts, self.offsets))
 
 
-def blocks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Block]]:
+def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
     """(first, last, Block) over a column of texts; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -66,7 +66,7 @@ def blocks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Blo
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         part = data[offsets[first] : offsets[last]]
         yield first, last, Block(LOWER[part] if lower else part, offsets[first : last + 1] - offsets[first])
         first = last
