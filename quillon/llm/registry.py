@@ -7,6 +7,7 @@ from quillon.llm.fingerprint import op2_fingerprints
 from quillon.llm.language_id import op9_language_id
 from quillon.llm.mixing import op7_mixing
 from quillon.llm.near_dedup import op3_near_dedup
+from quillon.llm.ngram_lm import op4_ngram_lm
 from quillon.llm.quality import op1_quality
 from quillon.llm.records import op6_token_records
 from quillon.llm.token_count import op10_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
     "op3_near_dedup": op3_near_dedup,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,
     "op7_mixing": op7_mixing,
