@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +138,22 @@ def mix(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", size
     return rounded.join(F.broadcast(plan.select("_g", "_source_size", "_target")), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g")
 
 
+def taken(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Copies go to the rows of an id in turn: rows that share an id and source share its copies as evenly as whole copies allow.
+    """
+    copies = mix(docs, source=source, doc_id=doc_id, size=size_of(text), **options)
+    copies = copies.groupBy(F.col("_id").alias("_i"), F.col("_group").alias("_g"), F.col("_size").alias("_s")).agg(F.sum("_copies").alias("_c"), F.count("*").alias("_n")).filter("_c > 0")
+    same = F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).cast("string").eqNullSafe(F.col("_g")) & (size_of(text) == F.col("_s"))
+    rows = docs.join(copies, same)
+    plain = rows.filter("_n = 1").withColumn("_k", F.col("_c"))
+    shared = rows.filter("_n > 1")
+    at = F.row_number().over(Window.partitionBy("_i", "_g", "_s").orderBy(text)) - 1
+    shared = shared.withColumn("_k", F.floor(F.col("_c") / F.col("_n")) + (at < F.col("_c") % F.col("_n")).cast("long"))
+    return plain.unionByName(shared).withColumn("_k", F.explode(F.expr("case when _k > 0 then sequence(1L, _k) else array() end"))).select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))

@@ -7,6 +7,8 @@ seen. For scoring, the map is folded into one number for each n-gram bucket, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -240,6 +242,20 @@ def scored(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     return map_batches(rows, _score, f"_id {kind}, _score double", model)
 
 
+def _below(limit: float, model: Model, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_held(model).scores(batch.column(text)) < limit))
+
+    return run
+
+
+def kept(docs: DataFrame, model: Model, limit: float, *, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is below limit: one narrow pass."""
+    return docs.mapInArrow(_below(limit, model, text), docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), share("_id", 3) != 1)
