@@ -88,7 +88,7 @@ def missing(c: Column) -> Column:
 
 def safe_split(c: Column, sep: str = ",") -> Column:
     """Trimmed parts without empty ones and \\N; null gives an empty list."""
-    parts = F.transform(F.split(c, re.escape(sep)), F.trim)
+    parts = F.transform(F.split(c, re.escape(sep)), lambda x: F.trim(x))
     return F.coalesce(F.filter(parts, lambda x: (x != "") & (x != "\\N")), F.array().cast("array<string>"))
 
 
