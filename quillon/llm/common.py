@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -94,10 +95,26 @@ def map_batches(df: DataFrame, f: Callable[..., dict], schema: str, *args) -> Da
             if batch.num_rows:
                 columns = f({n: batch.column(i) for i, n in enumerate(batch.schema.names)}, *args)
                 yield pa.RecordBatch.from_arrays([_array(columns[x.name], x.type) for x in kind], schema=kind)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # not glibc
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back, so that a worker that lives on for other tasks doesn't keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

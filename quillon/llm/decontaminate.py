@@ -78,8 +78,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
 def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, without leaks of items; rows without id or text are judged like others."""
-    bad = written(leaks(docs, items, doc_id=doc_id, text=text, **options).select(F.col("_id").alias("_w"), F.col("_hash").alias("_h")).distinct(), "leaks")
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_w"]) & (F.xxhash64(docs[text].cast("string")) == bad["_h"]), "left_anti")
+    bad = written(leaks(docs, items, doc_id=doc_id, text=text, **options).select(F.col("_id").alias("__q_w"), F.col("_hash").alias("__q_h")).distinct(), "leaks")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__q_w"]) & (F.xxhash64(docs[text].cast("string")) == bad["__q_h"]), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

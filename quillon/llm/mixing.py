@@ -144,14 +144,14 @@ def taken(docs: DataFrame, *, source: str = "source", doc_id: str = "doc_id", te
     Copies go to the rows of an id in turn: rows that share an id and source share its copies as evenly as whole copies allow.
     """
     copies = mix(docs, source=source, doc_id=doc_id, size=size_of(text), **options)
-    copies = copies.groupBy(F.col("_id").alias("_i"), F.col("_group").alias("_g"), F.col("_size").alias("_s")).agg(F.sum("_copies").alias("_c"), F.count("*").alias("_n")).filter("_c > 0")
-    same = F.col(doc_id).eqNullSafe(F.col("_i")) & F.col(source).cast("string").eqNullSafe(F.col("_g")) & (size_of(text) == F.col("_s"))
+    copies = copies.groupBy(F.col("_id").alias("__q_i"), F.col("_group").alias("__q_g"), F.col("_size").alias("__q_s")).agg(F.sum("_copies").alias("__q_c"), F.count("*").alias("__q_n")).filter("__q_c > 0")
+    same = F.col(doc_id).eqNullSafe(F.col("__q_i")) & F.col(source).cast("string").eqNullSafe(F.col("__q_g")) & (size_of(text) == F.col("__q_s"))
     rows = docs.join(copies, same)
-    plain = rows.filter("_n = 1").withColumn("_k", F.col("_c"))
-    shared = rows.filter("_n > 1")
-    at = F.row_number().over(Window.partitionBy("_i", "_g", "_s").orderBy(text)) - 1
-    shared = shared.withColumn("_k", F.floor(F.col("_c") / F.col("_n")) + (at < F.col("_c") % F.col("_n")).cast("long"))
-    return plain.unionByName(shared).withColumn("_k", F.explode(F.expr("case when _k > 0 then sequence(1L, _k) else array() end"))).select(*docs.columns)
+    plain = rows.filter("__q_n = 1").withColumn("__q_k", F.col("__q_c"))
+    shared = rows.filter("__q_n > 1")
+    at = F.row_number().over(Window.partitionBy("__q_i", "__q_g", "__q_s").orderBy(text)) - 1
+    shared = shared.withColumn("__q_k", F.floor(F.col("__q_c") / F.col("__q_n")) + (at < F.col("__q_c") % F.col("__q_n")).cast("long"))
+    return plain.unionByName(shared).withColumn("__q_k", F.explode(F.expr("case when __q_k > 0 then sequence(1L, __q_k) else array() end"))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,13 +217,13 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that are the smallest id of their group; rows without an id stay, and of equal ids one row does."""
     groups = near_groups(docs, doc_id=doc_id, text=text)
-    gone = groups.filter("_id is not null and _root < _id").select(F.col("_id").alias("_gone")).distinct()
-    rows = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
-    twice = written(groups.filter("_id is not null and _root = _id").groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("_twice")), "repeated-ids")
+    gone = groups.filter("_id is not null and _root < _id").select(F.col("_id").alias("__q_gone")).distinct()
+    rows = docs.join(gone, F.col(doc_id).cast("long") == F.col("__q_gone"), "left_anti")
+    twice = written(groups.filter("_id is not null and _root = _id").groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("__q_twice")), "repeated-ids")
     if twice.isEmpty():
         return rows
-    many = rows.join(twice, F.col(doc_id).cast("long") == F.col("_twice"), "left_semi").dropDuplicates([doc_id])
-    return rows.join(twice, F.col(doc_id).cast("long") == F.col("_twice"), "left_anti").unionByName(many)
+    many = rows.join(twice, F.col(doc_id).cast("long") == F.col("__q_twice"), "left_semi").dropDuplicates([doc_id])
+    return rows.join(twice, F.col(doc_id).cast("long") == F.col("__q_twice"), "left_anti").unionByName(many)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import buckets_for, map_batches, mix64, prepared, ragged, share, written
+from quillon.llm.common import buckets_for, map_batches, mix64, prepared, ragged, share, trim, written
 
 MU = 1000.0
 #: Bits and probes of an item; bytes that the whole filter may have: beyond, rarer n-grams are left to the smoothing.
@@ -24,7 +24,7 @@ ITEM_BITS, PROBES, MAX_FILTER = 10, 5, 64 << 20
 #: Words whose exact counts may be broadcast (12 bytes each); more are joined by a shuffle.
 MAX_VOCABULARY = 10_000_000
 #: N-grams that a task holds before it merges and passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 END, BEGIN = (np.uint64(x) for x in (0x5DEECE66D1234567, 0x2545F4914F6CDD1D))
 _PREV = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +86,7 @@ def _counted(buckets: int):
                     yield from flush()
                     size = 0
         yield from flush()
+        trim()
 
     return run
 

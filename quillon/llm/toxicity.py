@@ -33,8 +33,13 @@ _KEPT = np.zeros(256, bool)
 _KEPT[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[bytes], chunk: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all n-grams of the words between marks, and of the words themselves; how many each word has)."""
+    parts = [_grams(words[i : i + chunk]) for i in range(0, len(words), chunk)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"".join(b"<" + w + b">" for w in words)
     length = np.fromiter(map(len, words), np.int64, len(words)) + 2
     data = np.frombuffer(joined, np.uint8)
@@ -126,7 +131,7 @@ class _Trainer:
         folded = self.vectors @ (self.linear[:, 1] - self.linear[:, 0])
         return np.add.reduceat(folded[self.flat], self.first[:-1]) / self.n
 
-    def train(self, bags: list, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, batch: int = 64) -> None:
+    def train(self, bags: list, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, batch: int = 32) -> None:
         for epoch in range(epochs):
             order = self.rng.permutation(len(bags))
             for i in range(0, len(order), batch):
