@@ -68,9 +68,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's bytes, from file sizes; only sets numbers of partitions and buckets."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size), 1 << 50)
+    """Catalyst's estimate of df's bytes, from file sizes; only sets numbers of partitions and buckets.
+
+    Where Catalyst doesn't know (rows that come from no file) it assumes next to infinity; then rows are counted, at 4 KB each.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 50 else df.count() << 12
 
 
 def buckets_for(df: DataFrame, each: int = 4 << 20, least: int = 64) -> int:
