@@ -4,7 +4,8 @@ Texts with equal shingle sets become one class first, so groups of copies cost o
 into BINS bins (one permutation) and keeps the least of each; an empty bin borrows from a bin that a universal hash of (bin, attempt)
 finds occupied. Bands of ROWS bins give bucket keys; a pair of similarity 0.75 misses all BANDS keys with probability 3e-7. A bucket
 of m classes gives at most 2 (m - 1) candidates: edges to the member whose buckets are fullest, and to one drawn by hash. Candidates
-are confirmed on full sets. Rounds of the same kind follow on the buckets that hold several components until none joins.
+are confirmed on full sets. Rounds of the same kind follow on the buckets that hold several components until none joins. Components
+that still meet in a bucket are then searched exactly, by prefixes of their full sets, so the rounds only save work.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ SHINGLE, ROWS, BANDS = 5, 4, 40
 BINS = ROWS * BANDS
 #: Draws of an empty bin before it takes the next occupied one.
 ATTEMPTS = 256
+#: Sizes of sets within this factor share a class, for which prefixes are cut.
+CLASS = 1.02
 
 _RANDOM = np.random.default_rng(5)
 _PLACE = _RANDOM.integers(0, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -157,6 +160,40 @@ def _stars(members: DataFrame, round_: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _mixed(rows: DataFrame, found: DataFrame | None, round_: int) -> DataFrame:
+    """One drawn member of each component of the buckets that hold several: (_key, _label, _full, _id, _n)."""
+    labelled = rows.withColumn("_root", F.lit(None).cast("long")) if found is None else rows.join(found, "_id", "left")
+    one = labelled.groupBy("_key", F.coalesce("_root", "_id").alias("_label")).agg(F.max_by(F.struct("_full", "_id", "_n"), F.xxhash64("_key", "_id", F.lit(round_))).alias("m"))
+    several = one.groupBy("_key").count().filter("count > 1").select("_key")
+    return one.join(several, "_key", "left_semi").select("_key", "_label", "m.*")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / float(np.log(CLASS))).cast("int")
+
+
+def _closing(labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates (_a, _b) among labels (_id, _label): every pair of different labels whose sets are near, and few others.
+
+    Order each set with the shingles of one label first and the others by ascending count. Near sets of a and b shingles share
+    3 (a + b) / 7 or more, so their first common one leaves at least as many in both; what is of one label only is never common.
+    """
+    held = sets.join(labels, "_id").select("_id", "_label", F.size("_set").alias("_n"), F.xxhash64("_set").alias("_h"), "_set")
+    flat = held.select("_id", "_label", "_n", "_h", F.explode("_set").alias("_s"))
+    common = flat.groupBy("_s").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.count("*").alias("_c")).filter("_lo < _hi").select("_s", "_c")
+    met = flat.join(common, "_s").groupBy("_id", "_label", "_n", "_h").agg(F.sort_array(F.collect_set(F.struct("_c", "_s"))).alias("_m"))
+    met = written(met.filter(4 * F.size("_m") >= 3 * F.col("_n")), "met")
+    n, own = F.col("_n"), _size_class(F.col("_n"))
+    each = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(_size_class(F.ceil(n * 3 / 4)), _size_class(F.floor(n * 4 / 3)))))
+    least = F.greatest(F.ceil(n * 3 / 4), F.floor(F.pow(F.lit(CLASS), "_other") * (1 - 1e-9)))
+    each = each.withColumn("_t", (F.size("_m") - F.ceil((n + least) * 3 / 7) + 1).cast("int")).filter("_t > 0")
+    each = each.select("_id", "_label", "_n", "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), F.size("_m").alias("_k"), F.posexplode(F.slice("_m", F.lit(1), F.col("_t"))).alias("_i", "_e"))
+    each = each.select("_id", "_label", "_n", "_own", "_x", "_y", (F.col("_k") - F.col("_i")).alias("_r"), F.col("_e._s").alias("_s"))
+    a, b = (each.filter(f"_own = {o}").select("_s", "_x", "_y", *[F.col(f"_{c}").alias(f"_{c}{s}") for c in ("id", "label", "n", "r")]) for o, s in (("_x", "a"), ("_y", "b")))
+    pairs = a.join(b, ["_s", "_x", "_y"]).filter("_labela <> _labelb and (_x < _y or _ida < _idb) and 7 * least(_ra, _rb) >= 3 * (_na + _nb)")
+    return pairs.select(F.least("_ida", "_idb").alias("_a"), F.greatest("_ida", "_idb").alias("_b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are near."""
     a, b = sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_sa")), sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_sb"))
@@ -170,8 +207,8 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Null texts and texts without words have _n = 0 and are linked with nothing; texts of fewer than five words are linked with equal
     sequences only. Rows that share an id count as one document; rows without an id keep a null _root. An empty table gives an empty
     result; other columns are not read. Equal sets meet by a partial minimum and a join that Spark may split, so a group of any size
-    is no single task; a bucket's candidates grow with its members, not with their square. `most_rounds` only bounds the loop: it
-    ends when a round joins nothing.
+    is no single task; a star's candidates grow with a bucket's members, not with their square. `most_rounds` only bounds the stars:
+    what they leave apart is searched exactly.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     made = written(map_batches(slim, _sketch, "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _keys array<bigint>", False), "sketches")
@@ -188,17 +225,20 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets = written(map_batches(slim.filter("_id is not null").join(wanted, "_id", "left_semi"), _sketch, "_id bigint, _set array<bigint>", True), "sets")
     links, found = None, None
     for round_ in range(most_rounds):
-        if round_:
-            labelled = rows.join(found, "_id", "left").withColumn("_label", F.coalesce("_root", "_id")).drop("_root")
-            mixed = labelled.groupBy("_key").agg(F.min("_label").alias("x"), F.max("_label").alias("y")).filter("x < y").select("_key")
-            labelled = labelled.join(mixed, "_key", "left_semi")
-        else:
-            labelled = rows.withColumn("_label", F.col("_id"))
+        labelled = written(_mixed(rows, found, round_), "mixed") if round_ else rows.withColumn("_label", F.col("_id"))
         new = written(confirmed(_stars(labelled, round_), sets), "links")
         if new.isEmpty():
             break
         links = new if links is None else links.union(new)
         found = components(links)
+    apart = written(_mixed(rows, found, most_rounds).select("_label").distinct(), "apart")
+    if not apart.isEmpty():
+        of = rows.select("_id").distinct()
+        of = of.withColumn("_label", F.col("_id")) if found is None else of.join(found, "_id", "left").select("_id", F.coalesce("_root", "_id").alias("_label"))
+        new = written(confirmed(_closing(of.join(apart, "_label", "left_semi"), sets), sets), "links")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            found = components(links)
     # classes of one document meet at its id, and components at their least member
     ties = members.select(F.col("_rep").alias("_a"), F.col("_id").alias("_b")).filter("_a <> _b").groupBy("_b").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi")).filter("_lo < _hi")
     ties = ties.select(F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))

@@ -79,6 +79,17 @@ def test_near_dedup_chain_and_star(spark):
     assert got == root and root[11] == 0
 
 
+def test_near_dedup_of_texts_with_a_common_passage(spark):
+    """Texts just too far from each other share a passage; a few pairs also share one word and are near. Hardly a centre is one of these."""
+    passage = " ".join(f"p{k}" for k in range(174))
+    tail = lambda i, first: " ".join([first, *(f"u{i}x{k}" for k in range(28))])
+    rows = [(i, f"{passage} {tail(i, f's{i % 290}')}") for i in range(300)]
+    root, _ = components(rows)
+    assert {i: r for i, r in root.items() if r != i} == {290 + k: k for k in range(10)}
+    got = {r._id: r._root for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def test_leaks(spark, docs, odd, empty):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     got = {(r._id, r.item_id): r.n_shared for r in decontaminate.leaks(docs, items).collect()}
