@@ -1,7 +1,7 @@
 """N-gram scoring with a log-frequency Bloom filter.
 
-Counts of all uni- and bigrams of the training texts are merged exactly, bucket by bucket of their hash. A count c >= 2 is quantised to
-its level floor(log2 c), and an n-gram of level l is held as the l items (n-gram, 1) ... (n-gram, l) of a Bloom filter; every bucket has
+Counts of all uni- and bigrams of the training texts are merged exactly, bucket by bucket of their hash. A count c is quantised to
+its level floor(log2 c) + 1, and an n-gram of level l is held as the l items (n-gram, 1) ... (n-gram, l) of a Bloom filter; every bucket has
 a segment of the filter of its own. A count is read back by probing level 1, 2, ... until one is absent. Probabilities are
 P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter.
 """
@@ -98,17 +98,15 @@ def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def level(counts: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(counts, 1) + 0.5 * (counts < 1))).astype(np.int64)
+    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """A bucket's exact counts: all unigrams, and the bigrams of count 2 or more; levels: how many n-grams have each."""
+    """A bucket's exact counts: all unigrams and bigrams; levels: how many n-grams have each."""
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
     keys, counts = _merge(*_read(table))
     levels = np.bincount(np.minimum(level(counts), 63), minlength=64)
     total, distinct = int(counts.sum()), len(keys)
-    if kind:
-        keys, counts = keys[counts >= 2], counts[counts >= 2]
     row = {"kind": [kind], "bucket": [bucket], "keys": [keys.tobytes()], "counts": [np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()], "total": [total], "distinct": [distinct], "levels": [levels.tolist()]}
     return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("levels", pa.list_(pa.int64()))]))
 
@@ -149,7 +147,7 @@ class Filter:
         self.data = np.frombuffer(b"".join(segments.get(b, b"\0" * 8) for b in range(buckets)), np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the level up to which all items are present; 0 if the first is absent."""
+        """The middle of the level up to which all items are present (level 1 is the count 1); 0 if the first is absent."""
         found, todo, l = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1  # noqa: E741
         bucket = bucket_of(keys, self.buckets)
         bits, start = self.bits[bucket], self.start[bucket]
@@ -162,7 +160,7 @@ class Filter:
                 on, items, step = on[hit], items[hit], step[hit]
             found[on] = l
             todo, l = on, l + 1  # noqa: E741
-        return np.where(found > 0, 1.5 * 2.0**found, 0.0)
+        return np.where(found > 1, 0.75 * 2.0**found, found.astype(float))
 
 
 def _score(batch: dict, shared, words) -> dict:

@@ -234,6 +234,16 @@ def test_filter_reads_levels_back():
     assert (f.counts(absent) > 0).mean() < 0.03
 
 
+@pytest.mark.parametrize("kind", [0, 1])
+def test_filter_holds_what_is_seen_once(kind):
+    keys = np.sort(np.random.default_rng(3).integers(1, 2**64, 2000, dtype=np.uint64))
+    counts = np.where(np.arange(2000) % 2, 1, 6).astype(np.uint32)
+    merged = ngram_lm._merged(pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([0], pa.int32()), "keys": [keys.tobytes()], "counts": [counts.tobytes()]}))
+    f = ngram_lm.Filter({0: ngram_lm._segment(1)(merged)["bits"][0].as_py()}, 1, 1, 1)
+    got = f.counts(keys)
+    assert (got >= 1).all() and (got == counts).mean() > 0.98
+
+
 def test_fingerprints(docs, rows, odd, empty):
     got = {r.doc_id: r for r in fingerprint.with_next(docs).collect()}
     prints = {}
