@@ -1,6 +1,7 @@
 """Joins, panels, resolution and profiles on fixtures, with naive models where order and ties matter."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.operators import aggregates, features, joins, models, panel, profile, resolve
+from quillon.plans.resolve_queries import fuzzy_match
 
 
 def test_null_keys_meet(spark):
@@ -137,6 +139,19 @@ def test_fuzzy_needs_score_and_gap(spark):
     assert pruned == full
 
 
+def test_fuzzy_match_probes_every_customer(spark):
+    rows = [(k, k % 5, s) for k, s in enumerate(["BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"] * 2 + ["AUTOMOBILE", "BUILDING"])]
+    customer = spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string")
+    names = {k: (n, f"customer of the engagement export number {k} {s.lower()} {n}") for k, n, s in rows}
+    want = {}
+    for k, (n, name) in names.items():
+        scores = sorted(((resolve.indel_ratio(name.replace("engagement", "engagementt"), x), x) for m, x in names.values() if m == n), reverse=True)
+        if scores[0][0] >= 97 and scores[0][0] - (scores[1][0] if len(scores) > 1 else 0) >= 2:
+            want[k] = scores[0][1]
+    assert any(k % 3 for k in want)
+    assert {r.row_id: r.match_key for r in fuzzy_match(SimpleNamespace(customer=customer)).collect()} == want
+
+
 def test_half_years(spark):
     views = spark.createDataFrame([("Dark", "1,000", None), ("Dark", "5", "6"), ("Élite", None, "20"), (None, "1", "1")], "`Title` string, `2023 H1 Views` string, `2023 H2 Views` string")
     hours = spark.createDataFrame([("DARK", "3,000", "1"), ("Elite", "7", "40"), ("Only", "1", "1")], "`Title` string, `2023 H1 Hours` string, `2023 H2 Hours` string")
