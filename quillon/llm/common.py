@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,38 +33,71 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; on one machine, one of our own where it is unset.
+
+    On a cluster an unset folder raises ValueError: what the driver's own disk holds, executors don't see.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session's driver ends."""
+    """A new folder in the shared place, which the driver's JVM deletes when it ends, even after spark.stop()."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    fs, where = _fs(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        drop_path(spark, path)
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+class Scratch:
+    """Tables of one job in the shared folder. As a context it deletes them at its end, after a failure too; `drop` does so earlier.
+
+    What a job returns must not read them any more: its last table is written by the plain `written`.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.mode("overwrite").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.add(path)
+        table._shared_path = path
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for path in {getattr(t, "_shared_path", None) for t in tables} & self.paths:
+            self.paths.remove(path)
+            drop_path(self.spark, path)
 
 
 def planned_bytes(df: DataFrame) -> int:

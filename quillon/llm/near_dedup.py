@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import map_batches, mix64, prepared, ragged, written
+from quillon.llm.common import Scratch, map_batches, mix64, prepared, ragged, written
 
 SHINGLE, ROWS, BANDS = 5, 4, 40
 BINS = ROWS * BANDS
@@ -49,7 +49,7 @@ def shingles(block: scan.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(hashed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct hashes of each text, and how many; 56 bits of each hash are kept. At most 256 texts."""
+    """Ascending distinct hashes of each text, and how many; 56 bits of each hash are kept. At most 256 texts, as a block has."""
     key = hashed >> np.uint64(8) | np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(56), n)
     key.sort()
     first = np.ones(len(key), bool)
@@ -120,42 +120,57 @@ def near(n_shared: Column, n_a: Column, n_b: Column) -> Column:
     return 100 * n_shared >= 75 * (n_a + n_b - n_shared)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(_id, _root) of all nodes of links (_a, _b): _root is the least node that is reachable.
 
     Contraction: every node takes its least neighbour as parent, edges move to the parents, and loops and repeats go, until no edge
     is left. A round joins and aggregates edges only (partial sums before each shuffle), and its result is a written table.
     """
     edges = links.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).filter("_a < _b").distinct()
-    edges = written(edges, "edges")
+    edges = scratch.written(edges, "edges")
     nodes = edges.select(F.col("_a").alias("_id")).union(edges.select("_b")).distinct()
-    labels = written(nodes.select("_id", F.col("_id").alias("_root")), "labels")
+    labels = scratch.written(nodes.select("_id", F.col("_id").alias("_root")), "labels")
     while not edges.isEmpty():
         both = edges.select(F.col("_b").alias("_u"), F.col("_a").alias("_v")).union(edges.select("_a", "_b"))
         parents = both.groupBy("_u").agg(F.min("_v").alias("_p")).select("_u", F.least("_u", "_p").alias("_p"))
         up = parents.select(F.col("_u").alias("_p"), F.col("_p").alias("_q"))
-        parents = written(parents.join(up, "_p", "left").select("_u", F.coalesce("_q", "_p").alias("_p")), "parents")
+        parents = scratch.written(parents.join(up, "_p", "left").select("_u", F.coalesce("_q", "_p").alias("_p")), "parents")
         a, b = parents.select(F.col("_u").alias("_a"), F.col("_p").alias("_x")), parents.select(F.col("_u").alias("_b"), F.col("_p").alias("_y"))
         moved = edges.join(a, "_a").join(b, "_b").filter("_x <> _y")
-        edges = written(moved.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct(), "edges")
+        fewer = scratch.written(moved.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct(), "edges")
         to = parents.select(F.col("_u").alias("_root"), F.col("_p").alias("_to"))
-        labels = written(labels.join(to, "_root", "left").select("_id", F.coalesce("_to", "_root").alias("_root")), "labels")
+        higher = scratch.written(labels.join(to, "_root", "left").select("_id", F.coalesce("_to", "_root").alias("_root")), "labels")
+        scratch.drop(edges, labels, parents)
+        edges, labels = fewer, higher
+    scratch.drop(edges)
     return labels
 
 
+def _joined(found: DataFrame | None, new: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of what was found and new links: a component found is its members' edges to its root."""
+    links = new if found is None else new.unionByName(found.select(F.col("_id").alias("_a"), F.col("_root").alias("_b")))
+    out = components(links, scratch)
+    scratch.drop(found, new)
+    return out
+
+
 def _stars(members: DataFrame, round_: int) -> DataFrame:
-    """Candidates (_a, _b) of buckets of members (_key, _id, _n, _label, _full): from each to two centres of its bucket."""
-    draw = F.xxhash64("_key", "_id", F.lit(round_))
+    """Candidates (_x, _c) of buckets of members (_key, _id, _n, _label, _full): from each member to the centres of its bucket.
+
+    The first round has one centre, the member whose buckets are fullest, which is mostly the same one for all buckets of a group of
+    copies, so a group of m gives about m pairs. Later rounds, on one member of each component, have a drawn centre as well.
+    """
     one = F.struct("_id", "_n", "_label")
     full = F.xxhash64("_id", F.lit(round_)) if round_ else F.col("_id")
-    # with several labels in a bucket, members of other labels than the centre's are what may join
-    centres = members.groupBy("_key").agg(F.max(F.struct("_full", full.alias("o"), one.alias("c"))).alias("f"), F.max(F.struct(draw.alias("o"), one.alias("c"))).alias("g"))
-    centres = centres.select("_key", F.col("f.c").alias("_f"), F.col("g.c").alias("_g"))
+    orders = {"_f": F.struct("_full", full.alias("o"), one.alias("c"))}
+    if round_:
+        orders["_g"] = F.struct(F.xxhash64("_key", "_id", F.lit(round_)).alias("o"), one.alias("c"))
+    centres = members.groupBy("_key").agg(*[F.max(o).alias(c) for c, o in orders.items()]).select("_key", *[F.col(f"{c}.c").alias(c) for c in orders])
     rows = members.join(centres, "_key")
     pairs = None
-    for c in ("_f", "_g"):
+    for c in orders:
         size = (F.least("_n", F.col(f"{c}._n")) * 4) >= (F.greatest("_n", F.col(f"{c}._n")) * 3)
-        part = rows.filter((F.col("_label") != F.col(f"{c}._label")) & size).select(F.least("_id", F.col(f"{c}._id")).alias("_a"), F.greatest("_id", F.col(f"{c}._id")).alias("_b"))
+        part = rows.filter((F.col("_label") != F.col(f"{c}._label")) & size).select(F.col("_id").alias("_x"), F.col(f"{c}._id").alias("_c"))
         pairs = part if pairs is None else pairs.union(part)
     return pairs.distinct()
 
@@ -172,8 +187,8 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n) / float(np.log(CLASS))).cast("int")
 
 
-def _closing(labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidates (_a, _b) among labels (_id, _label): every pair of different labels whose sets are near, and few others.
+def _closing(labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidates (_x, _c) among labels (_id, _label): every pair of different labels whose sets are near, and few others.
 
     Order each set with the shingles of one label first and the others by ascending count. Near sets of a and b shingles share
     3 (a + b) / 7 or more, so their first common one leaves at least as many in both; what is of one label only is never common.
@@ -181,77 +196,86 @@ def _closing(labels: DataFrame, sets: DataFrame) -> DataFrame:
     held = sets.join(labels, "_id").select("_id", "_label", F.size("_set").alias("_n"), F.xxhash64("_set").alias("_h"), "_set")
     flat = held.select("_id", "_label", "_n", "_h", F.explode("_set").alias("_s"))
     common = flat.groupBy("_s").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.count("*").alias("_c")).filter("_lo < _hi").select("_s", "_c")
+    common = scratch.written(common, "common")  # a frequent shingle's rows can then be split in the join
     met = flat.join(common, "_s").groupBy("_id", "_label", "_n", "_h").agg(F.sort_array(F.collect_set(F.struct("_c", "_s"))).alias("_m"))
-    met = written(met.filter(4 * F.size("_m") >= 3 * F.col("_n")), "met")
+    met = scratch.written(met.filter(4 * F.size("_m") >= 3 * F.col("_n")), "met")
+    scratch.drop(common)
     n, own = F.col("_n"), _size_class(F.col("_n"))
     each = met.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(_size_class(F.ceil(n * 3 / 4)), _size_class(F.floor(n * 4 / 3)))))
     least = F.greatest(F.ceil(n * 3 / 4), F.floor(F.pow(F.lit(CLASS), "_other") * (1 - 1e-9)))
     each = each.withColumn("_t", (F.size("_m") - F.ceil((n + least) * 3 / 7) + 1).cast("int")).filter("_t > 0")
-    each = each.select("_id", "_label", "_n", "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), F.size("_m").alias("_k"), F.posexplode(F.slice("_m", F.lit(1), F.col("_t"))).alias("_i", "_e"))
-    each = each.select("_id", "_label", "_n", "_own", "_x", "_y", (F.col("_k") - F.col("_i")).alias("_r"), F.col("_e._s").alias("_s"))
-    a, b = (each.filter(f"_own = {o}").select("_s", "_x", "_y", *[F.col(f"_{c}").alias(f"_{c}{s}") for c in ("id", "label", "n", "r")]) for o, s in (("_x", "a"), ("_y", "b")))
-    pairs = a.join(b, ["_s", "_x", "_y"]).filter("_labela <> _labelb and (_x < _y or _ida < _idb) and 7 * least(_ra, _rb) >= 3 * (_na + _nb)")
-    return pairs.select(F.least("_ida", "_idb").alias("_a"), F.greatest("_ida", "_idb").alias("_b")).distinct()
+    each = each.select("_id", "_label", "_n", "_own", F.least("_own", "_other").alias("_lower"), F.greatest("_own", "_other").alias("_upper"), F.size("_m").alias("_k"), F.posexplode(F.slice("_m", F.lit(1), F.col("_t"))).alias("_i", "_e"))
+    each = each.select("_id", "_label", "_n", "_own", "_lower", "_upper", (F.col("_k") - F.col("_i")).alias("_r"), F.col("_e._s").alias("_s"))
+    a, b = (each.filter(f"_own = {o}").select("_s", "_lower", "_upper", *[F.col(f"_{c}").alias(f"_{c}{s}") for c in ("id", "label", "n", "r")]) for o, s in (("_lower", "a"), ("_upper", "b")))
+    pairs = a.join(b, ["_s", "_lower", "_upper"]).filter("_labela <> _labelb and (_lower < _upper or _ida < _idb) and 7 * least(_ra, _rb) >= 3 * (_na + _nb)")
+    return pairs.select(F.col("_ida").alias("_x"), F.col("_idb").alias("_c")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are near."""
-    a, b = sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_sa")), sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_sb"))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    return pairs.join(a, "_a").join(b, "_b").filter(near(shared, F.size("_sa"), F.size("_sb"))).select("_a", "_b")
+    """(_a, _b) of the pairs (_x, _c) whose full sets are near. A member's set travels to its centre's, which isn't copied before."""
+    x, c = sets.select(F.col("_id").alias("_x"), F.col("_set").alias("_sx")), sets.select(F.col("_id").alias("_c"), F.col("_set").alias("_sc"))
+    shared = F.size(F.array_intersect("_sx", "_sc"))
+    found = pairs.join(x, "_x").join(c, "_c").filter(near(shared, F.size("_sx"), F.size("_sc")))
+    return found.select(F.col("_x").alias("_a"), F.col("_c").alias("_b"))
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_rounds: int = 12) -> DataFrame:
     """_id, _n (distinct shingles), _root (least id reachable over links) of each row of docs.
 
     Null texts and texts without words have _n = 0 and are linked with nothing; texts of fewer than five words are linked with equal
-    sequences only. Rows that share an id count as one document; rows without an id keep a null _root. An empty table gives an empty
-    result; other columns are not read. Equal sets meet by a partial minimum and a join that Spark may split, so a group of any size
-    is no single task; a star's candidates grow with a bucket's members, not with their square. `most_rounds` only bounds the stars:
-    what they leave apart is searched exactly.
+    sequences only. Rows that share an id count as one document; rows without an id keep a null _root. Texts of any length are taken
+    whole, in blocks of their own if they are long. An empty table gives an empty result; other columns are not read. Equal sets
+    meet by a partial minimum and a join that Spark may split, so a group of any size is no single task; a star's candidates grow
+    with a bucket's members, not with their square. `most_rounds` only bounds the stars: what they leave apart is searched exactly.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    made = written(map_batches(slim, _sketch, "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _keys array<bigint>", False), "sketches")
-    known = made.filter("_id is not null and _n > 0")
-    first = known.groupBy("_d1", "_d2").agg(F.min("_id").alias("_rep"))
-    members = written(known.select("_id", "_n", "_d1", "_d2").join(first, ["_d1", "_d2"]).select("_id", "_n", "_rep", "_d1", "_d2"), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        return written(_groups(slim, scratch, most_rounds), "groups")
+
+
+def _groups(slim: DataFrame, scratch: Scratch, most_rounds: int) -> DataFrame:
+    sketches = scratch.written(map_batches(slim, _sketch, "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _keys array<bigint>", False), "sketches")
+    known = sketches.filter("_id is not null and _n > 0")
+    first = scratch.written(known.groupBy("_d1", "_d2").agg(F.min("_id").alias("_rep")), "classes")
+    members = scratch.written(known.select("_id", "_d1", "_d2").join(first, ["_d1", "_d2"]).select("_id", "_rep"), "members")
     reps = known.join(first.select("_d1", "_d2", F.col("_rep").alias("_id")), ["_d1", "_d2", "_id"], "left_semi")
     keyed = reps.select("_id", "_n", F.explode("_keys").alias("_key"))
-    full = keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("*").alias("_c")).filter("_lo < _hi").select("_key", "_c")
-    rows = written(keyed.join(full, "_key"), "buckets")
-    weight = rows.groupBy("_id").agg(F.sum("_c").alias("_full"))
-    rows = written(rows.join(weight, "_id").select("_key", "_id", "_n", "_full"), "bucket-rows")
+    full = scratch.written(keyed.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("*").alias("_c")).filter("_lo < _hi").select("_key", "_c"), "full-buckets")
+    counted = scratch.written(keyed.join(full, "_key"), "buckets")
+    weight = counted.groupBy("_id").agg(F.sum("_c").alias("_full"))
+    rows = scratch.written(counted.join(weight, "_id").select("_key", "_id", "_n", "_full"), "bucket-rows")
+    made = scratch.written(sketches.select("_id", "_n"), "sizes")
+    scratch.drop(sketches, first, full, counted)
     wanted = rows.select("_id").distinct()
-    sets = written(map_batches(slim.filter("_id is not null").join(wanted, "_id", "left_semi"), _sketch, "_id bigint, _set array<bigint>", True), "sets")
-    links, found = None, None
+    sets = scratch.written(map_batches(slim.filter("_id is not null").join(wanted, "_id", "left_semi"), _sketch, "_id bigint, _set array<bigint>", True), "sets")
+    found = None
     for round_ in range(most_rounds):
-        labelled = written(_mixed(rows, found, round_), "mixed") if round_ else rows.withColumn("_label", F.col("_id"))
-        new = written(confirmed(_stars(labelled, round_), sets), "links")
+        labelled = scratch.written(_mixed(rows, found, round_), "mixed") if round_ else rows.withColumn("_label", F.col("_id"))
+        new = scratch.written(confirmed(_stars(labelled, round_), sets), "links")
+        scratch.drop(labelled)
         if new.isEmpty():
             break
-        links = new if links is None else links.union(new)
-        found = components(links)
-    apart = written(_mixed(rows, found, most_rounds).select("_label").distinct(), "apart")
+        found = _joined(found, new, scratch)
+    apart = scratch.written(_mixed(rows, found, most_rounds).select("_label").distinct(), "apart")
     if not apart.isEmpty():
         of = rows.select("_id").distinct()
         of = of.withColumn("_label", F.col("_id")) if found is None else of.join(found, "_id", "left").select("_id", F.coalesce("_root", "_id").alias("_label"))
-        new = written(confirmed(_closing(of.join(apart, "_label", "left_semi"), sets), sets), "links")
+        new = scratch.written(confirmed(_closing(of.join(apart, "_label", "left_semi"), sets, scratch), sets), "links")
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            found = components(links)
+            found = _joined(found, new, scratch)
+    scratch.drop(rows, sets)
     # classes of one document meet at its id, and components at their least member
-    ties = members.select(F.col("_rep").alias("_a"), F.col("_id").alias("_b")).filter("_a <> _b").groupBy("_b").agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi")).filter("_lo < _hi")
-    ties = ties.select(F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
+    ties = members.groupBy("_id").agg(F.min("_rep").alias("_a"), F.max("_rep").alias("_b")).filter("_a < _b").select("_a", "_b")
+    ties = scratch.written(ties, "ties")
     if not ties.isEmpty():
-        links = ties if links is None else links.union(ties)
-        found = components(links)
-    rep = members.select("_id", "_rep").distinct()
+        found = _joined(found, ties, scratch)
+    rep = members
     if found is not None:
         rep = rep.join(found.select(F.col("_id").alias("_rep"), "_root"), "_rep", "left").select("_id", F.coalesce("_root", "_rep").alias("_root"))
     else:
         rep = rep.select("_id", F.col("_rep").alias("_root"))
     rep = rep.groupBy("_id").agg(F.min("_root").alias("_root"))
-    return made.select("_id", "_n").join(rep, "_id", "left").select("_id", "_n", F.coalesce("_root", "_id").alias("_root"))
+    return made.join(rep, "_id", "left").select("_id", "_n", F.coalesce("_root", "_id").alias("_root"))
 
 
 def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,6 +16,8 @@ from quillon.llm.common import mix64, ragged
 
 #: Bytes of texts that are worked on at once; one longer text is worked on by itself.
 BLOCK_BYTES = 2 << 20
+#: Texts of a block at most: keys of a block hold a text's number in 8 bits.
+BLOCK_TEXTS = 256
 
 _RANDOM = np.random.default_rng(20_240_229)
 _BYTE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -54,8 +56,8 @@ class Block:
         return np.diff(np.searchsorted(starts, self.offsets))
 
 
-def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
-    """(first, last, Block) over a column of texts; null counts as empty."""
+def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES, most: int = BLOCK_TEXTS) -> Iterator[tuple[int, int, Block]]:
+    """(first, last, Block) over a column of texts, of some `size` bytes and at most `most` texts each; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -66,7 +68,7 @@ def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Ite
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        last = min(first + most, max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1))
         part = data[offsets[first] : offsets[last]]
         yield first, last, Block(LOWER[part] if lower else part, offsets[first : last + 1] - offsets[first])
         first = last
@@ -95,6 +97,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix64(np.add.reduceat(values, ragged(lengths)[:-1]) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def polynomial(rows: np.ndarray) -> np.ndarray:
+    """Hashes of rows of bytes that all have one length."""
+    return mix64((_BYTE[rows] * powers(rows.shape[1])[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+
 EMPTY = np.uint64(0)
 
 
