@@ -21,10 +21,36 @@ def first_existing(df: DataFrame, *names: str) -> str | None:
     return next((n for n in names if n in df.columns), None)
 
 
+_IN_PARTITION = (1 << 33) - 1
+
+
 def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Row ids 1..n in file order: positions within partitions plus the partitions' starts, without one task for all rows."""
-    kind = df.schema.add(name, "long")
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(kind)
+    """Row ids 1..n in file order: the place within a row's partition plus the rows of all partitions before.
+
+    Two passes, a count of each partition and the numbering; no row leaves its partition. The reader must give the same partitions
+    twice, as file sources do.
+    """
+    marked = df.withColumn("__at", F.monotonically_increasing_id())
+    return _counted_up(marked, name)
+
+
+def placed(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
+    """df with its place 1..n in a total order: ranges of the order are sorted by themselves, then counted up."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    return _counted_up(ranged, name)
+
+
+def _counted_up(marked: DataFrame, name: str) -> DataFrame:
+    at = F.col("__at")
+    counts = sorted(tuple(r) for r in marked.groupBy(F.shiftright(at, 33).alias("p")).count().collect())
+    starts, before = [], 0
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    table = marked.sparkSession.createDataFrame(starts, "__p long, __start long")
+    rows = marked.join(F.broadcast(table), F.shiftright(at, 33) == F.col("__p"))
+    return rows.withColumn(name, F.col("__start") + at.bitwiseAND(F.lit(_IN_PARTITION)) + 1).drop("__at", "__p", "__start")
 
 
 def not_blank(c: Column) -> Column:

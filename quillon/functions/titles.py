@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+NOTES = {"none": "no title", "unparsed": "no season in the title", "trailing_roman_tv_heuristic": "season read from the end of the title", "trailing_number_tv_heuristic": "season read from the end of the title"}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 
 
@@ -27,7 +28,7 @@ def compact(c: Column) -> Column:
 
 
 def parsed(title: Column, kind: Column) -> Column:
-    """Struct (series, season, label, year, method, confidence) of a title; the first rule that fits decides.
+    """Struct (series, season, label, year, method, confidence, note) of a title; the first rule that fits decides.
 
     Trailing numbers and roman numerals count as seasons only where kind is a TV kind. Null or blank titles give nulls and 'none'.
     """
@@ -39,7 +40,7 @@ def parsed(title: Column, kind: Column) -> Column:
     season, series, limited = r"(?i)^(.*?)[:\s,-]*\bseason\s+(\d+)\b.*$", r"(?i)^(.*?)[:\s,-]*\bseries\s+(\d+)\b.*$", r"(?i)^(.*?)[:\s,-]*\blimited\s+series\b.*$"
     short, roman, number = r"(?i)^(.*?)[:\s,-]*\bs(\d{1,2})$", r"(?i)^(.+?)\s+(i{1,3}|iv|v|vi{1,3}|ix|x)$", r"^(.+?)\s+(\d{1,2})$"
     value = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    row = lambda base, n, label, method, sure: F.struct(base.alias("series"), n.cast("int").alias("season"), F.lit(label).alias("label"), year.alias("year"), F.lit(method).alias("method"), F.lit(sure).alias("confidence"))
+    row = lambda base, n, label, method, sure: F.struct(base.alias("series"), n.cast("int").alias("season"), F.lit(label).alias("label"), year.alias("year"), F.lit(method).alias("method"), F.lit(sure).alias("confidence"), F.lit(NOTES.get(method)).alias("note"))
     base = lambda pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
     return (
         F.when(text.isNull(), row(F.lit(None).cast("string"), F.lit(None), None, "none", 0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
 from quillon.functions import titles
-from quillon.operators import aggregates, joins, resolve
+from quillon.operators import aggregates, joins, profile, resolve
 from quillon.plans.registry import Tables, query
 
 
@@ -43,11 +43,13 @@ def ordered_distinct_concat(t: Tables) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(aggregates.ordered_distinct(F.col("l_linenumber"), "s").alias("suppliers"))
 
 
-@query("""SELECT u.user_id, CAST(coalesce(a, 0) AS BIGINT) AS clicks, CAST(coalesce(b, 0) AS BIGINT) AS purchases, CAST(coalesce(n, 0) AS BIGINT) AS events FROM (SELECT unnest(range(0, 200)) AS user_id) u
+@query("""SELECT u.user_id, CAST(coalesce(a, 0) AS BIGINT) AS clicks, CAST(coalesce(b, 0) AS BIGINT) AS purchases, CAST(coalesce(n, 0) AS BIGINT) AS events FROM (SELECT c_custkey AS user_id FROM customer UNION SELECT user_id FROM events WHERE user_id IS NOT NULL) u
 LEFT JOIN (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'purchase') AS b, count(*) AS n FROM events GROUP BY 1) e USING (user_id)""")
 def conditional_counts(t: Tables) -> DataFrame:
+    """Events by kind of every customer and every other user, zero where there are none."""
     found = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count("*").alias("events"))
-    return joins.dense(t.spark.range(200).withColumnRenamed("id", "user_id"), found, "user_id", ["clicks", "purchases", "events"])
+    users = t.customer.select(F.col("c_custkey").alias("user_id")).union(t.events.select("user_id")).filter("user_id is not null").distinct()
+    return joins.dense(users, found, "user_id", ["clicks", "purchases", "events"])
 
 
 @query("""SELECT l_orderkey, string_agg(s, ' | ' ORDER BY rn) AS top FROM (SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY k, l_suppkey) AS rn
@@ -58,10 +60,12 @@ def top5_per_group(t: Tables) -> DataFrame:
     return top.select("l_orderkey", F.array_join(F.col("items").cast("array<string>"), " | ").alias("top"))
 
 
-@query("""SELECT l_orderkey, round(avg(s_acctbal), 6) AS mean_balance FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_suppkey % 3 <> 0 GROUP BY 1""")
+@query("""SELECT l_orderkey, round(avg(b), 6) AS mean_balance FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) LEFT JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS b FROM supplier) ON l_suppkey = s_suppkey GROUP BY 1""")
 def ordered_lookup_mean(t: Tables) -> DataFrame:
-    lists = aggregates.top_distinct(t.lineitem, ["l_orderkey"], "l_suppkey", "l_linenumber", 1_000_000)
-    found = joins.looked_up(lists, "l_orderkey", "items", t.supplier.filter("s_suppkey % 3 <> 0").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey", "s_acctbal")
+    """Mean balance of an order's suppliers, of whom a third have none on record."""
+    lists = aggregates.top_distinct(t.lineitem, ["l_orderkey"], "l_suppkey", "l_linenumber")
+    balance = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("b"))
+    found = joins.looked_up(lists, "l_orderkey", "items", balance, "l_suppkey", "b")
     return found.select("l_orderkey", F.aggregate("found", F.lit(0.0), lambda a, x: a + x, lambda a: S.safe_ratio(a, F.size("found"))).alias("mean_balance"))
 
 
@@ -86,12 +90,22 @@ def normalised_keys(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", titles.normalised(c).alias("normalised"), titles.canonical(c).alias("canonical"), titles.compact(c).alias("compact"))
 
 
-@query("""SELECT p_partkey, p_name AS series, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size % 10 WHEN 2 THEN 1 END AS BIGINT) AS season, CASE p_partkey % 4 WHEN 0 THEN 'season' WHEN 1 THEN 'season' WHEN 2 THEN 'limited_series' END AS label, CAST(1990 + p_size % 30 AS BIGINT) AS year,
-CASE p_partkey % 4 WHEN 0 THEN 'season_word' WHEN 1 THEN 's_shorthand' WHEN 2 THEN 'limited_series' ELSE 'unparsed' END AS method FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 <> 8 THEN p_name END AS series, CAST(CASE p_partkey % 9 WHEN 0 THEN p_size WHEN 1 THEN p_size % 10 WHEN 2 THEN 1 WHEN 4 THEN p_size WHEN 5 THEN p_size % 10 + 1 WHEN 6 THEN p_size % 50 WHEN 7 THEN NULL END AS BIGINT) AS season,
+CASE p_partkey % 9 WHEN 0 THEN 'season' WHEN 1 THEN 'season' WHEN 2 THEN 'limited_series' WHEN 4 THEN 'series' WHEN 5 THEN 'season' WHEN 6 THEN 'season' END AS label, CASE WHEN p_partkey % 9 <> 8 THEN CAST(1990 + p_size % 30 AS BIGINT) END AS year,
+CASE p_partkey % 9 WHEN 0 THEN 'season_word' WHEN 1 THEN 's_shorthand' WHEN 2 THEN 'limited_series' WHEN 3 THEN 'unparsed' WHEN 4 THEN 'series_word' WHEN 5 THEN 'trailing_roman_tv_heuristic' WHEN 6 THEN 'trailing_number_tv_heuristic' WHEN 7 THEN 'unparsed' ELSE 'none' END AS method,
+CASE p_partkey % 9 WHEN 0 THEN 0.99 WHEN 1 THEN 0.9 WHEN 2 THEN 0.95 WHEN 3 THEN 0.5 WHEN 4 THEN 0.97 WHEN 5 THEN 0.7 WHEN 6 THEN 0.6 WHEN 7 THEN 0.5 ELSE 0 END AS confidence, CASE WHEN p_partkey % 9 IN (5, 6) THEN 'season read from the end of the title' WHEN p_partkey % 9 IN (3, 7) THEN 'no season in the title' WHEN p_partkey % 9 = 8 THEN 'no title' END AS note FROM (SELECT * FROM part)""")
 def season_parse(t: Tables) -> DataFrame:
-    k, year = F.col("p_partkey") % 4, F.concat(F.lit(" ("), (1990 + F.col("p_size") % 30).cast("string"), F.lit(")"))
-    title = F.when(k == 0, F.concat("p_name", F.lit(": Season "), F.col("p_size").cast("string"))).when(k == 1, F.concat("p_name", F.lit(" S"), (F.col("p_size") % 10).cast("string"))).when(k == 2, F.concat("p_name", F.lit(": Limited Series"))).otherwise(F.col("p_name"))
-    return t.part.select("p_partkey", titles.parsed(F.concat(title, year), F.lit("Movie")).alias("x")).select("p_partkey", "x.series", "x.season", "x.label", "x.year", "x.method")
+    """Titles in all the ways that the parser knows, for TV kinds and others."""
+    k, n, year = F.col("p_partkey") % 9, F.col("p_size"), F.concat(F.lit(" ("), (1990 + F.col("p_size") % 30).cast("string"), F.lit(")"))
+    text = lambda *parts: F.concat("p_name", *[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    roman = F.element_at(F.array(*[F.lit(r) for r in ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")]), (n % 10 + 1).cast("int"))
+    title = (
+        F.when(k == 0, text(": Season ", n.cast("string"))).when(k == 1, text(" S", (n % 10).cast("string"))).when(k == 2, text(": Limited Series")).when(k == 4, text(" - Series ", n.cast("string")))
+        .when(k.isin(5, 7), text(" ", roman)).when(k == 6, text(" ", (n % 50).cast("string"))).otherwise(F.col("p_name"))
+    )
+    title = F.when(k == 8, F.lit("  ")).when(k == 7, F.col("p_name")).otherwise(title)
+    kind = F.when(k.isin(5, 6), "TV Show").otherwise("Movie")
+    return t.part.select("p_partkey", titles.parsed(F.when(k == 8, title).otherwise(F.concat(title, year)), kind).alias("x")).select("p_partkey", "x.series", "x.season", "x.label", "x.year", "x.method", "x.confidence", "x.note")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'series' WHEN 1 THEN 'movie' WHEN 2 THEN (CASE WHEN p_size > 10 THEN 'series' ELSE 'unknown' END) ELSE 'unknown' END AS format FROM part")
@@ -151,11 +165,12 @@ def two_grain_join(t: Tables) -> DataFrame:
     return joins.two_grain(base, coarse, ["l_orderkey"], fine, ["l_orderkey", "l_linenumber"]).withColumnRenamed("l_orderkey", "o_orderkey")
 
 
-@query("SELECT a.p_name AS name, min(a.p_partkey) AS left_id, min(b.p_partkey) AS right_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 GROUP BY 1")
+@query("SELECT a.p_name AS name, min(a.p_partkey) AS left_id, arg_min(b.p_partkey, (100 - b.p_size)::BIGINT * 1000000000 + b.p_partkey) AS right_id FROM part a JOIN part b ON a.p_name = b.p_name GROUP BY 1")
 def first_row_join(t: Tables) -> DataFrame:
-    a = t.part.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("left_id"))
-    b = t.part.filter("p_partkey % 2 = 1").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("right_id"))
-    return joins.first_match(a, b, "name", "left_id", "right_id")
+    """Parts with themselves by name: the first in order of keys with the first in order of falling sizes."""
+    a = t.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("left_id"))
+    b = t.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("right_id"), ((100 - F.col("p_size")).cast("long") * 1_000_000_000 + F.col("p_partkey")).alias("at"))
+    return joins.first_match(a, b, "name", "left_id", "at").drop("at")
 
 
 @query("""SELECT c_custkey, coalesce(new, c_mktsegment) AS segment, CAST(new IS NOT NULL AS BIGINT) AS updated FROM customer
@@ -177,11 +192,35 @@ def class_balance(t: Tables) -> DataFrame:
     return aggregates.shares(t.events, "event_type")
 
 
-@query("""SELECT column_name, round(rate, 6) AS rate FROM (SELECT avg((c_custkey IS NULL)::INT) AS c_custkey, avg((o_orderkey IS NULL)::INT) AS o_orderkey, avg((k IS NULL)::INT) AS k FROM (SELECT c_custkey, o_orderkey, nullif(c_custkey % 7, 0) AS k FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000))
-UNPIVOT (rate FOR column_name IN (c_custkey, o_orderkey, k))""")
+@query("SELECT round(abs(2 * avg(toxic) - 1), 6) AS gap, CASE WHEN abs(2 * avg(toxic) - 1) < 0.15 THEN 'balanced' ELSE 'imbalanced' END AS label FROM labels")
+def balance_label(t: Tables) -> DataFrame:
+    return aggregates.balance_label(aggregates.shares(t.labels, "toxic"))
+
+
+_HOLES = "(SELECT c_custkey, o_orderkey, nullif(c_custkey % 7, 0) AS k, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS a, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS b FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000)"
+
+
+def _holes(t: Tables) -> DataFrame:
+    rows = t.customer.join(t.orders.filter("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", "o_orderkey", F.nullif(F.col("c_custkey") % 7, F.lit(0)).alias("k"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal")).alias("a"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("b"))
+
+
+_RATES = f"(SELECT unnest(['c_custkey', 'o_orderkey', 'k', 'a', 'b']) AS column_name, unnest([avg((c_custkey IS NULL)::INT), avg((o_orderkey IS NULL)::INT), avg((k IS NULL)::INT), avg((a IS NULL)::INT), avg((b IS NULL)::INT)]) AS rate FROM {_HOLES})"
+
+
+@query(f"SELECT column_name, round(rate, 6) AS rate FROM {_RATES}")
 def missingness(t: Tables) -> DataFrame:
-    rows = t.customer.join(t.orders.filter("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", F.nullif(F.col("c_custkey") % 7, F.lit(0)).alias("k"))
-    return aggregates.null_rates(rows, ["c_custkey", "o_orderkey", "k"])
+    return aggregates.null_rates(_holes(t), ["c_custkey", "o_orderkey", "k", "a", "b"])
+
+
+@query(f"SELECT v AS limit, count(*) FILTER (rate > v::DOUBLE) AS n_columns FROM {_RATES}, (VALUES ('0.3'), ('0.5'), ('0.8')) x(v) GROUP BY 1")
+def missing_levels(t: Tables) -> DataFrame:
+    return aggregates.missing_levels(missingness(t))
+
+
+@query(f"SELECT g AS \"group\", count(*) AS n_columns, round(avg(rate), 6) AS mean_rate FROM {_RATES} JOIN (VALUES ('ids', 'c_custkey'), ('ids', 'o_orderkey'), ('facts', 'k'), ('facts', 'a'), ('facts', 'b')) x(g, c) ON c = column_name GROUP BY 1")
+def grouped_null_rates(t: Tables) -> DataFrame:
+    return aggregates.grouped_null_rates(_holes(t), {"ids": ["c_custkey", "o_orderkey"], "facts": ["k", "a", "b", "absent"]})
 
 
 @query("""WITH f AS (SELECT CAST(p_size > 25 AS INT) AS big, CAST(p_name LIKE '%blue%' AS INT) AS blue, 0 AS never, CASE WHEN p_retailprice > 1000 THEN 1.0 ELSE 0.0 END AS y FROM part), g AS (SELECT * FROM (VALUES ('big'), ('blue'), ('never')) a(flag), (VALUES (0::BIGINT), (1::BIGINT)) b(value))
@@ -191,6 +230,18 @@ def unpivot_flag_rates(t: Tables) -> DataFrame:
     return aggregates.flag_rates(rows, ["big", "blue", "never"], "y")
 
 
+@query("""WITH f AS (SELECT p_size, CASE WHEN p_retailprice > 1000 THEN 1.0 ELSE 0.0 END AS y, p_name FROM part), u AS (SELECT 'blue' AS flag, y FROM f WHERE p_name LIKE '%blue%' UNION ALL SELECT 'size_1', y FROM f WHERE p_size = 1 UNION ALL SELECT 'big', y FROM f WHERE p_size > 25)
+SELECT flag, count(*) AS n, round(avg(y), 6) AS rate FROM u GROUP BY 1 HAVING count(*) >= 20""")
+def flag_rates_at_least_20(t: Tables) -> DataFrame:
+    rows = t.part.select(S.flag(F.col("p_size") > 25).alias("big"), S.flag(F.col("p_name").contains("blue")).alias("blue"), S.flag(F.col("p_size") == 1).alias("size_1"), S.flag(F.col("p_retailprice") > 1000).alias("y"))
+    return aggregates.rates_at_least(aggregates.flag_rates(rows, ["big", "blue", "size_1"], "y"))
+
+
+@query("""SELECT p_size, count(*) AS n, CAST(sum((p_retailprice > 1000)::INT) AS BIGINT) AS positives, round(avg((p_retailprice > 1000)::INT), 6) AS rate, CAST(count(*) < 10 AS BIGINT) AS small FROM part GROUP BY 1""")
+def rate_with_small_mark(t: Tables) -> DataFrame:
+    return aggregates.rate_by(t.part.withColumn("y", S.flag(F.col("p_retailprice") > 1000)), "p_size", "y")
+
+
 @query("""WITH a AS (SELECT nullif(o_orderstatus, 'P') AS s, o_orderpriority AS p FROM orders) SELECT x.s AS o_status, y.p AS o_priority, count(a.p) AS n FROM (SELECT DISTINCT s FROM a) x CROSS JOIN (SELECT DISTINCT p FROM a) y
 LEFT JOIN a ON a.s IS NOT DISTINCT FROM x.s AND a.p IS NOT DISTINCT FROM y.p GROUP BY 1, 2""")
 def contingency(t: Tables) -> DataFrame:
@@ -199,7 +250,7 @@ def contingency(t: Tables) -> DataFrame:
 
 @query("SELECT c_mktsegment, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median, count(c_acctbal) AS n FROM customer GROUP BY 1")
 def group_center(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("mean"), F.median("c_acctbal").alias("median"), F.count("c_acctbal").alias("n"))
+    return profile.centers(t.customer, "c_mktsegment", "c_acctbal")
 
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice <= 950 THEN 'low' WHEN p_retailprice <= 1100 THEN 'mid' WHEN p_retailprice > 1100 THEN 'high' END AS bin, round(ln(1 + p_retailprice), 6) AS log_price, round(p_retailprice / nullif(p_size % 5, 0), 6) AS ratio FROM part")
@@ -207,6 +258,13 @@ def binning_and_ratio(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.binned(F.col("p_retailprice"), [950, 1100], ["low", "mid", "high"]).alias("bin"), F.log1p("p_retailprice").alias("log_price"), S.safe_ratio(F.col("p_retailprice"), F.col("p_size") % 5).alias("ratio"))
 
 
+@query("""SELECT o_orderkey, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM (SELECT *, nullif(o_custkey % 7, 0) AS k FROM orders)""")
+def sorted_nulls_last(t: Tables) -> DataFrame:
+    """Places in a global order with nulls last, without one task for all rows."""
+    rows = t.orders.withColumn("k", F.nullif(F.col("o_custkey") % 7, F.lit(0)))
+    return S.placed(rows, [F.col("k").asc_nulls_last(), F.col("o_totalprice").desc(), F.col("o_orderkey")], "place").select("o_orderkey", "place")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def top_k(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)

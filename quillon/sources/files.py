@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,14 +34,29 @@ def modified(spark: SparkSession, path: str) -> int:
     return max([status.getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(where))]) if status.isDirectory() else status.getModificationTime()
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A delimited file by its suffix, all columns as text unless a schema is given. Spreadsheets and unknown suffixes raise ValueError."""
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for tables that are written and read again: in spark.checkpoint.dir, or on one machine a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    fs, where = _fs(spark, folder)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return folder
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, *, line_breaks: bool = False) -> DataFrame:
+    """A delimited file by its suffix, all columns as text unless a schema is given. Spreadsheets and unknown suffixes raise ValueError.
+
+    line_breaks: values may hold line breaks, which makes a file one task; without it Spark splits files.
+    """
     name = path.lower()
     if name.endswith((".xlsx", ".xls", ".xlsm")):
         raise ValueError(f"{path}: spreadsheets are not read; save the first sheet as CSV")
     if not name.endswith((".csv", ".csv.gz")):
         raise ValueError(f"{path}: unknown file type")
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", name.endswith(".csv"))
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -80,7 +98,8 @@ def optional(spark: SparkSession, path: str, schema: str, read: Callable[[str],
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """CSV with a header; quotes within values are doubled, as read_table reads them."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -93,9 +112,10 @@ def write_sample(df: DataFrame, path: str, order: str, n: int = 250) -> None:
 
 
 def write_reviews(df: DataFrame, root: str, filters: dict[str, str], order: str) -> None:
-    """One file set for each named condition over the same table."""
+    """One file set for each named condition, all from one copy of the table that is written first."""
+    table = snapshot(df, f"{root}/_all")
     for name, condition in filters.items():
-        write_csv(df.filter(condition).orderBy(order), f"{root}/{name}")
+        write_csv(table.filter(condition).orderBy(order), f"{root}/{name}")
 
 
 def fresh(spark: SparkSession, outputs: list[str], inputs: list[str], refresh: bool = False) -> bool:
@@ -149,6 +169,17 @@ def dictionary_text(title: str, df: DataFrame, notes: dict[str, str] | None = No
     return "\n".join([f"# {title}", "", "| column | type | note |", "| --- | --- | --- |", *rows, ""])
 
 
+def feature_notes(title: str, manifest: list[dict]) -> str:
+    """A Markdown page of features by group: included ones with their notes, left-out ones with the reason."""
+    lines = [f"# {title}", "", f"Included: {sum(r['included'] for r in manifest)} of {len(manifest)} columns.", ""]
+    for group in sorted({r["feature_group"] for r in manifest}):
+        lines += [f"## {group}", ""]
+        for r in sorted((r for r in manifest if r["feature_group"] == group), key=lambda r: r["column_name"]):
+            lines.append(f"- `{r['column_name']}` ({r['role']}): {r['note']}" + (f"; {r['drop_reason']}" if r["drop_reason"] else ""))
+        lines.append("")
+    return "\n".join(lines)
+
+
 @dataclass(frozen=True)
 class Paths:
     """Roots of raw, interim and processed data."""

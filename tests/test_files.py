@@ -55,6 +55,14 @@ def test_cache_snapshot_and_guard(spark, tmp_path):
         os.utime(source, (time.time() + 500,) * 2)
 
 
+def test_notes_and_reviews(spark, tmp_path):
+    rows = [{"column_name": "b", "role": "predictor", "feature_group": "lag", "included": 1, "note": "kept", "drop_reason": ""}, {"column_name": "a", "role": "dropped", "feature_group": "lag", "included": 0, "note": "left out", "drop_reason": "not used"}]
+    text = files.feature_notes("F", rows)
+    assert "Included: 1 of 2 columns." in text and text.index("`a`") < text.index("`b`") and "left out; not used" in text
+    files.write_reviews(spark.range(10), str(tmp_path / "r"), {"low": "id < 3", "none": "id > 99"}, "id")
+    assert spark.read.csv(str(tmp_path / "r" / "low"), header=True).count() == 3
+
+
 def test_samples_documents_and_steps(spark, tmp_path):
     files.write_sample(spark.range(1000), str(tmp_path / "a"), "id")
     assert spark.read.csv(str(tmp_path / "a"), header=True).count() == 250

@@ -1,15 +1,15 @@
 """Joins, panels, resolution and profiles on fixtures, with naive models where order and ties matter."""
 
 import random
-from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillon.functions import scalars as S
 from quillon.operators import aggregates, features, joins, models, panel, profile, resolve
-from quillon.plans.resolve_queries import fuzzy_match
 
 
 def test_null_keys_meet(spark):
@@ -139,17 +139,64 @@ def test_fuzzy_needs_score_and_gap(spark):
     assert pruned == full
 
 
-def test_fuzzy_match_probes_every_customer(spark):
-    rows = [(k, k % 5, s) for k, s in enumerate(["BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE"] * 2 + ["AUTOMOBILE", "BUILDING"])]
-    customer = spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string")
-    names = {k: (n, f"customer of the engagement export number {k} {s.lower()} {n}") for k, n, s in rows}
-    want = {}
-    for k, (n, name) in names.items():
-        scores = sorted(((resolve.indel_ratio(name.replace("engagement", "engagementt"), x), x) for m, x in names.values() if m == n), reverse=True)
-        if scores[0][0] >= 97 and scores[0][0] - (scores[1][0] if len(scores) > 1 else 0) >= 2:
-            want[k] = scores[0][1]
-    assert any(k % 3 for k in want)
-    assert {r.row_id: r.match_key for r in fuzzy_match(SimpleNamespace(customer=customer)).collect()} == want
+def test_close_pairs_lose_none(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc d") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    words += [w[:k] + rng.choice("abcx") + w[k + rng.randint(0, 1) :] for w in words for k in (rng.randrange(len(w)),)]
+    rows = [(1, w.replace("x", "q")) for w in words if w.strip()]
+    probes = spark.createDataFrame([(i, b, w) for i, (b, w) in enumerate(rows)], "row_id int, block int, key string")
+    pool = spark.createDataFrame(rows, "block int, other string").distinct()
+    got = {(r.key, r.other) for r in resolve.close_pairs(probes, pool, "block", 0.05).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = sorted({w for _, w in rows})
+    want = {(a, b) for a in words for b in words if abs(len(a) - len(b)) <= 0.05 * (len(a) + len(b)) and distance(a, b) <= int(0.05 * (len(a) + len(b)))}
+    assert got == want and any(a != b for a, b in want)
+
+
+def test_fuzzy_stage_takes_rows_without_exact_candidates(spark):
+    """The winner's rows are ranked like other candidates; a row with an unresolved exact stage gets no fuzzy one."""
+    title = "the quick brown fox jumps over the lazy dog"
+    pool = [(p, s, "primary", 0, kind, key, "tvSeries", start, None, votes, 2) for p, s, key, start, votes in [(1, 1, title, 2000, 5), (2, 1, title, 2010, 9), (3, 2, "something else altogether", 2000, 1)] for kind in ("normalised", "canonical", "compact")]
+    p_df = spark.createDataFrame(pool, "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int, n_seasons int")
+    left = [(1, "series", 1, "season", 2011, title + "s"), (2, "series", 1, "season", None, title), (3, "movie", 1, "season", None, title), (4, "series", None, "season", None, "x"), (5, "series", 1, "season", None, "nothing")]
+    l_df = spark.createDataFrame([(*r[:5], *[r[5]] * 6) for r in left], "row_id int, format string, season int, label string, ref_year int, " + ", ".join(f"{c} string" for c in resolve.KEYS))
+    got = {r.row_id: r for r in resolve.matches(l_df, p_df)[0].collect()}
+    assert (got[1].stage, got[1].parent, got[1].method) == (9, 2, "year_consistency") or (got[1].stage, got[1].parent) == (9, 2)
+    assert abs(got[1].confidence - (0.88 + resolve.BONUS[got[1].method])) < 1e-9 and 97 <= got[1].similarity < 100
+    assert (got[2].stage, got[2].parent, got[2].method) == (1, 2, "higher_num_votes")
+    assert [got[i].method for i in (3, 4, 5)] == ["unmatched_not_series_like", "unmatched_missing_season_number", "unmatched_no_candidate"]
+    assert got[3].note == resolve.MEANINGS["unmatched_not_series_like"]
+
+
+def test_overrides(spark):
+    master = spark.createDataFrame([(1, "a", 1, 0, None, None, "m", 0.0, None), (2, "a", 2, 1, 7, 2, "m", 0.9, None), (3, "b", None, 0, None, None, "m", 0.0, None), (4, "a", 1, 0, None, None, "m", 0.0, None)], "row_id int, title string, row_season int, matched int, parent int, season int, method string, confidence double, note string")
+    seasons = spark.createDataFrame([(9, 1), (9, 2), (8, 1)], "parent int, season int")
+    rules = [(1, 1, None, None, 8, "first"), (2, 1, None, None, 9, "second"), (3, 2, None, None, 5, "no such target"), (4, 3, None, 2, 9, None), (5, None, "a", 1, 8, "by title"), (6, None, "a", None, 9, "no season"), (7, 99, None, None, 9, "no row")]
+    out = {r.row_id: r for r in resolve.apply_overrides(master, seasons, spark.createDataFrame(rules, "ordinal int, row_id int, title string, row_season int, to_parent int, reason string")).collect()}
+    assert (out[1].parent, out[1].note, out[1].confidence) == (8, "by title", 1.0) and out[4].parent == 8
+    assert (out[2].parent, out[2].overridden) == (7, 0) and (out[3].parent, out[3].season, out[3].note) == (9, 2, "decided by hand")
+
+
+def test_before_after_of_nothing(spark):
+    empty = spark.createDataFrame([], "matched int, format string, season int, parse_method string, source string, stage int, method string")
+    got = {r.metric: r.value for r in resolve.before_after(empty, None, {"baseline_matched_rows": 3}).collect()}
+    assert got["series_match_rate"] == 0.0 and got["baseline_matched_rows"] == 3 and got["baseline_series_match_rate"] is None and got["newly_matched_from_old_unmatched"] == -3
+
+
+def test_passes_of_several_grains_run_in_turn(spark):
+    pool = spark.createDataFrame([(1, 1, "primary", 0, "normalised", "a", "movie", None, None, None), (2, 1, "primary", 0, "normalised", "a", "tvSeries", None, None, None)], "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int")
+    left = spark.createDataFrame([(1, "movie", None, "a"), (2, "series", 1, "a"), (3, "series", 4, "a"), (4, "series", 1, "b")], "row_id int, format string, season int, normalised string").selectExpr("*", "'season' as label", "cast(null as int) as ref_year")
+    stage = [(1, "normalised", "normalised", None, 0.99)]
+    passes = [("movie", pool.filter("title_type = 'movie'"), stage, False, "format = 'movie'"), ("series_season", pool.filter("title_type <> 'movie'"), stage, True, "format = 'series'"), ("series_parent", pool.filter("title_type <> 'movie'"), stage, False, "format = 'series'")]
+    assert {r.row_id: (r.entity_type, r.parent) for r in resolve.multi_grain(left, passes).collect()} == {1: ("movie", 1), 2: ("series_season", 2), 3: ("series_parent", 2)}
 
 
 def test_half_years(spark):
@@ -163,11 +210,14 @@ def test_half_years(spark):
 
 def test_entity_features(spark):
     ids = spark.createDataFrame([("t1",), ("t2",), ("t9",)], "entity_id string")
-    basics = spark.createDataFrame([("t1", "tvSeries", "A", 2000, None, 50, "Drama,Crime"), ("t2", "movie", "B", 2001, None, 90, None), ("t3", "movie", "C", 2002, None, 1, "Drama")], "tconst string, titleType string, primaryTitle string, startYear int, endYear int, runtimeMinutes int, genres string")
+    basics = spark.createDataFrame([("t1", "tvSeries", "A", "O", "2000", None, "50.5", "Drama,Crime"), ("t2", "movie", "B", None, "2001", None, "90", None), ("t3", "movie", "C", None, "2002", None, "1", "Drama")], "tconst string, titleType string, primaryTitle string, originalTitle string, startYear string, endYear string, runtimeMinutes string, genres string")
     ratings = spark.createDataFrame([("t1", 8.0, 100)], "tconst string, averageRating double, numVotes long")
-    got = {r.entity_id: r for r in features.derived(features.entities(basics, ratings, ids), 2026).collect()}
-    assert set(got) == {"t1", "t2"} and got["t1"].genre_drama == 1 and got["t1"].genre_count == 2 and got["t2"].genre_count == 0
-    assert got["t1"].age == 26 and got["t1"].is_ongoing == 1 and got["t2"].is_ongoing == 0 and got["t2"].log_votes is None
+    rows = features.entities(basics, ratings, ids).withColumn("entity_type", F.lit("series_season"))
+    got = {r.entity_id: r for r in features.derived(rows, 2026).collect()}
+    assert set(got) == {"t1", "t2"} and got["t1"].genre_drama == 1 and got["t1"].genre_count == 2 and got["t2"].genre_count == 0 and got["t1"].runtimeMinutes == 50
+    assert got["t1"].age == 26 and got["t1"].is_ongoing == 1 and got["t2"].is_ongoing == 0 and got["t2"].log_votes is None and got["t1"].years_active == 27
+    assert "title.basics|title.ratings|title.episode" in got["t1"].sources_used and got["t1"].year_gap is None
+    assert [c for c in rows.columns if c.startswith("genre_")][1:] == ["genre_drama", "genre_comedy", "genre_action", "genre_thriller", "genre_crime", "genre_romance", "genre_animation", "genre_documentary", "genre_fantasy", "genre_horror", "genre_sci_fi", "genre_family"]
     episode = spark.createDataFrame([("e1", "t1", "1", "1"), ("e2", "t1", "1", "2"), ("e3", "t1", "2", "1"), ("e4", "t1", None, "1"), ("e5", "t1", "0", "1")], "tconst string, parentTconst string, seasonNumber string, episodeNumber string")
     coarse, fine = features.episodes(episode, ids)
     row = coarse.collect()[0]
@@ -177,11 +227,117 @@ def test_entity_features(spark):
     assert got == {"t1": (1, 2, 1, 1), "t2": (1, 0, 0, 0)}
     cast = [("t1", i, f"n{i}", "actor") for i in range(1, 8)] + [("t1", 1, "n7", "actress"), ("t1", None, "n0", "self"), ("t1", 2, "n1", "director")]
     principals = spark.createDataFrame(cast, "tconst string, ordering int, nconst string, category string")
-    crew = spark.createDataFrame([("t1", "n1,n2,\\N")], "tconst string, directors string")
-    names = spark.createDataFrame([(f"n{i}", f"N{i}", "1950" if i == 1 else "1960" if i == 2 else None) for i in range(8) if i != 3], "nconst string, primaryName string, birthYear string")
-    got = {r.entity_id: r for r in features.credits(principals, crew, names, ids).collect()}
-    assert got["t1"].top_cast == "N1 | N7 | N2 | N4" and got["t1"].n_actor == 7 and got["t1"].mean_director_birth_year == 1955.0
-    assert got["t9"].n_actor == 0 and got["t9"].top_cast is None
+    crew = spark.createDataFrame([("t1", "n1,n2,\\N", None), ("t2", None, "n2,n2")], "tconst string, directors string, writers string")
+    names = spark.createDataFrame([(f"n{i}", f"N{i}", "1950" if i == 1 else "1960" if i == 2 else None, "actor,writer" if i == 1 else None, "t1,t2" if i == 1 else None) for i in range(8) if i != 3], "nconst string, primaryName string, birthYear string, primaryProfession string, knownForTitles string")
+    got = {r.entity_id: r for r in features.cast_features(principals, names, ids).collect()}
+    assert got["t1"].top_cast_names == "N1 | N7 | N2 | N4" and got["t1"].top_cast_count_used == 5 and got["t1"].n_actor == 7 and got["t1"].top_cast_known_for_count == 0.5 and got["t1"].top_cast_profession_mix == "actor | writer"
+    assert got["t9"].n_actor == 0 and got["t9"].top_cast_names is None
+    got = {r.entity_id: r for r in features.crew_features(crew, names, ids).collect()}
+    assert (got["t1"].n_directors, got["t1"].director_names, got["t1"].director_mean_birth_year) == (2, "N1 | N2", 1955.0)
+    assert (got["t2"].n_writers, got["t2"].writer_ids, got["t2"].writer_names) == (2, "n2", "N2") and got["t9"].n_directors == 0
+
+
+def test_entity_ids_and_checks(spark):
+    rows = [(1, "movie", "r", "p", 1), (2, "movie", None, "p", 1), (3, "series_season", "r", "p", 2), (4, "series_parent", "r", None, None), (5, None, "r", None, None)]
+    matched = spark.createDataFrame(rows, "row_id int, entity_type string, resolved string, parent string, season int").withColumn("matched", F.lit(1))
+    got = {r.row_id: (r.entity_id, r.parent_id) for r in features.keys(matched).collect()}
+    assert got == {1: ("r", None), 2: (None, None), 3: ("p", "p"), 4: ("r", None), 5: ("r", None)}
+    assert features.check_enriched(matched, matched, matched.withColumn("x", F.lit(1)), "row_id", ["x"])["matched_rows"] == 5
+    for after, match in ((matched, "no column x"), (matched.withColumn("x", F.lit(1)).union(matched.withColumn("x", F.lit(1))), "10 rows of 5; repeated keys")):
+        with pytest.raises(ValueError, match=match):
+            features.check_enriched(matched, matched, after, "row_id", ["x"])
+    with pytest.raises(ValueError, match="aren't matched"):
+        features.check_enriched(matched, matched.withColumn("matched", F.lit(0)), matched, "row_id", [])
+
+
+def test_panel_rules(spark):
+    df = spark.createDataFrame([(1, "a", 1, 5.0), (2, "a", 2, 6.0), (3, "b", 1, None), (4, None, 1, 1.0), (5, "a", 9, 1.0)], "row_id int, g string, p int, v double")
+    final, metrics = panel.modelling_rows(df, group="g", period="p", row_id="row_id", measures=["v"], eligible="row_id < 9")
+    assert [r.row_id for r in final.collect()] == [1]
+    assert {r.metric: r.value for r in metrics.collect()} == {"rows_in": 5, "eligible_rows": 4, "dropped_missing_measures": 1, "dropped_missing_target": 2, "final_rows": 1, "final_groups": 1, "dropped_repeated_periods": 0}
+    with pytest.raises(ValueError, match="next_v"):
+        panel.select_safe(final, ["row_id"], ["v", "next_v"], ["next_v"], [])
+    with pytest.raises(ValueError, match="rows whose g isn't b"):
+        panel.check_panel(final, ["row_id"], [], [], ("g", "b"))
+    panel.check_copy(df.orderBy("row_id"), df.orderBy("row_id"), "row_id")
+    with pytest.raises(ValueError, match="another order"):
+        panel.check_copy(df.coalesce(1).orderBy("row_id"), df.coalesce(1).orderBy(F.desc("row_id")), "row_id")
+    with pytest.raises(ValueError, match="4 rows of 5"):
+        panel.check_copy(df, df.filter("row_id > 1"), "row_id")
+    order = spark.createDataFrame([("a", 1, None, 1), ("a", 1, 2000, 2)], "g string, p int, y int, row_id int")
+    assert [r.row_id for r in order.orderBy(*panel.row_order("p", "y", "row_id")).collect()] == [2, 1]
+
+
+def test_places_in_an_order(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 7) for i in range(200)], "i int, k int")
+    got = [(r.place, r.i) for r in S.placed(df, [F.col("k").asc_nulls_last(), F.col("i")], "place", 5).orderBy("place").collect()]
+    assert got == [(n, i) for n, (_, i) in enumerate(sorted((7 if i % 4 == 0 else i % 7, i) for i in range(200)), 1)]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "a", "b"]), st.one_of(st.none(), st.integers(-5, 5), st.integers(-10_000, 10_000))), max_size=60))
+def test_quantiles_and_running_counts(spark, rows):
+    df = spark.createDataFrame([(g, None if x is None else float(x)) for g, x in rows], "g string, x double")
+    groups = {}
+    for g, x in rows:
+        if x is not None:
+            groups.setdefault(g, []).append(float(x))
+    got = {r.g: (r.q1, r["median"], r.q3) for r in profile.quantiles(df, ["g"], "x", profile.QUARTILES).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert np.allclose(got[g], np.quantile(xs, [0.25, 0.5, 0.75]))
+    counts = {(r.g, r.x): (r.n, r.before) for r in profile.running_counts(df, ["g"], "x").collect()}
+    assert counts == {(g, x): (xs.count(x), sum(y < x for y in xs)) for g, xs in groups.items() for x in xs}
+
+
+def naive_tree(rows, depth, least):
+    """Gini splits by trying every one; the best share of label 1 at a leaf."""
+    gini = lambda r: 1 - sum((sum(y == k for _, y in r) / len(r)) ** 2 for k in (0, 1))
+    if depth and len(rows) >= 2 * least:
+        best = None
+        for j in range(len(rows[0][0])):
+            for cut in sorted({x[j] for x, _ in rows})[:-1]:
+                left, right = [r for r in rows if r[0][j] <= cut], [r for r in rows if r[0][j] > cut]
+                if min(len(left), len(right)) >= least:
+                    gain = gini(rows) - (len(left) * gini(left) + len(right) * gini(right)) / len(rows)
+                    if gain > 1e-12 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, j, cut, left, right)
+        if best:
+            low, high = naive_tree(best[3], depth - 1, least), naive_tree(best[4], depth - 1, least)
+            return lambda x, j=best[1], cut=best[2]: low(x) if x[j] <= cut else high(x)
+    share = sum(y for _, y in rows) / len(rows)
+    return lambda x: float(share > 0.5)
+
+
+def test_tree_equals_a_naive_one(spark):
+    rng = random.Random(4)
+    rows = [((rng.randint(0, 30), rng.randint(0, 9)), 0) for _ in range(400)]
+    rows = [(x, int(x[0] > 17 if x[1] > 3 else x[0] > 5) if rng.random() < 0.9 else rng.randint(0, 1)) for x, _ in rows]
+    df = spark.createDataFrame([(float(a), float(b), y) for (a, b), y in rows], "a double, b double, y int")
+    model = models.tree(df, ["a", "b"], "y")
+    want = naive_tree(rows, 3, 20)
+    got = models.predicted(model, df, ["a", "b"]).collect()
+    assert all(r.prediction == want((r.a, r.b)) for r in got)
+    weights = {r.feature: r.importance for r in models.importances(model, ["a", "b"], spark).collect()}
+    assert abs(sum(weights.values()) - 1) < 1e-9 and weights["a"] > weights["b"]
+
+
+def test_stratified_split(spark):
+    df = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "k long, y int")
+    train, test = models.split_stratified(df, "k", "y")
+    assert train.count() + test.count() == 1000 and {r.y: r["count"] for r in test.groupBy("y").count().collect()} == {0: 270, 1: 30}
+
+
+def test_summary_text_and_roles():
+    text = profile.summary_text("T", 1200, [(0, 0.75), (1, 0.25)], [("exclude", "b"), ("exclude", "a"), ("useful", "c")])
+    assert "Rows: 1,200" in text and "Exclude: a, b" in text and "Investigate: none" in text and "0: 75.0%" in text
+    assert profile.suspicious(["next_views", "views", "change_views", "is_next_views_high"], "next_views") == {"next_views": "target", "change_views": "future", "is_next_views_high": "future"}
+
+
+def test_roles(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "id long, name string, x double")
+    assert profile.roles(df, {"id": "identifier"}) == {"numeric": ["id", "x"], "categorical": ["name"], "identifier": ["id"]}
+    assert models.cohort(df, "id = 1", ["x"]).count() == 1 and models.cohort(df.withColumn("x", F.lit(None)), "id = 1", ["x"]).count() == 0
 
 
 def test_profile_edges(spark):

@@ -42,7 +42,7 @@ def test_binning(spark):
 def test_names():
     assert S.snake("Total Hours Viewed") == "total_hours_viewed"
     assert list(S.wide_periods(["2024 H1 Views", "2023 H2 Views", "2023 H2 Hours", "Title"])) == [(2023, "H2"), (2024, "H1")]
-    assert S.first_rule("netflix_gap", [("^a", "x"), ("gap", "y")], "z") == "y"
+    assert S.first_rule("runtime_gap", [("^a", "x"), ("gap", "y")], "z") == "y"
 
 
 def test_row_numbers(spark):
