@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -21,12 +22,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
+#: Setting of Spark by which the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches small enough for long texts."""
+    """The session with Arrow batches small enough for long texts, and without shuffle files of queries that have ended."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set(CLEANUP, "true")
     return spark
 
 
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files of a query go when it ends."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lowered; bytes.lower and bytes.split touch ASCII only, which is exactly the rule."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -88,7 +105,8 @@ class Scratch:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_path(self.spark, name)
-        df.write.mode("overwrite").parquet(path)
+        with cleaning(self.spark):
+            df.write.mode("overwrite").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths.add(path)
         table._shared_path = path
@@ -100,6 +118,20 @@ class Scratch:
             drop_path(self.spark, path)
 
 
+#: Numbers (an id each) that a filter may broadcast: some 50 MB in a hash table.
+FEW_IDS = 1_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, key: str, *, but: bool = False) -> DataFrame:
+    """Rows of df whose key is among ids (one column, distinct), or with `but` those whose key isn't or is null.
+
+    If there are few ids df doesn't move, else both are joined by a shuffle.
+    """
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    ids = ids.toDF("__only")
+    return df.join(F.broadcast(ids) if few else ids, F.col(key).cast(ids.schema[0].dataType) == F.col("__only"), "left_anti" if but else "left_semi")
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's bytes, from file sizes; only sets numbers of partitions and buckets.
 

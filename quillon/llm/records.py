@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import planned_bytes, prepared, ragged, shared_path
+from quillon.llm.common import cleaning, planned_bytes, prepared, ragged, shared_path
 from quillon.llm.token_count import byte_characters
 
 END_ID = 1
@@ -39,6 +39,10 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n_id
 CASTAGNOLI, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 
 
+#: Shards of one data set, which is what its manifest and the driver list; ids that are sampled for their borders.
+MOST_SHARDS, SAMPLE = 100_000, 1_000_000
+
+
 # --- checksums ---------------------------------------------------------------------------------------------------------------
 
 
@@ -354,48 +358,58 @@ def _reader(uri: str, wide: bool):
     return run
 
 
-def _shards(docs: DataFrame, doc_id: str, n: int) -> tuple[DataFrame, int]:
-    """docs (_id, _text) with a column _shard that ascends with _id, and the number of shards; null ids come last.
+def n_shards(docs: DataFrame, each: int) -> int:
+    """How many shards give some `each` bytes to one; at most MOST_SHARDS, which are then larger."""
+    return min(MOST_SHARDS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(docs) // each)))
+
 
-    Borders are quantiles of the narrow id column. An id that fills several quantiles is dealt over as many shards by its text.
+def by_order(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """docs (_id, _text) with _hash and a _shard that ascends with (_id, _hash), null ids last, and the number of shards.
+
+    Borders are quantiles of a sample of at most some SAMPLE ids; they only decide how even the shards are. An id that fills several
+    shards, and rows without an id, are dealt over as many by ranges of the text's hash.
     """
-    stats = docs.select("_id").agg(F.percentile_approx("_id", [k / n for k in range(1, n)], 100 * n).alias("q")).collect()[0].q if n > 1 else None
-    borders = sorted(set(stats or []))
-    times = [(stats or []).count(b) for b in borders]
-    base = np.concatenate([[0, 1], 1 + np.cumsum(times)]).tolist()[: len(borders) + 1]
-    if borders:
-        exact = [float(b) for b in borders]
-        splits = [-float("inf"), *sorted(set(exact)), float("inf")]
-        if len(splits) != len(borders) + 2:  # ids beyond 2**53 that doubles don't tell apart share a shard
-            kept = [i for i, x in enumerate(exact) if not i or x != exact[i - 1]]
-            borders, times = [borders[i] for i in kept], [1] * len(kept)
-            base = list(range(len(borders) + 1))
-        ranged = Bucketizer(splits=splits, inputCol="_d", outputCol="_at", handleInvalid="keep").transform(docs.withColumn("_d", F.col("_id").cast("double")))
+    docs = docs.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_text"), 1))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    ids = docs.select("_id").sample(share, 7).toArrow()["_id"].combine_chunks()
+    known = np.sort(ids.drop_null().to_numpy(zero_copy_only=False))
+    without = max(1, round(n * ids.null_count / max(1, len(ids))))
+    n = max(1, n - without)
+    quantiles = known[np.arange(1, n) * len(known) // n] if len(known) else known
+    borders, times = np.unique(quantiles, return_counts=True)
+    borders, first = np.unique(borders.astype(np.float64), return_index=True)  # ids beyond 2**53 that doubles don't tell apart share a border
+    times = np.add.reduceat(times, first).tolist() if len(first) else []
+    exact = np.unique(quantiles)[first].tolist()
+    base = [0, *(1 + np.concatenate([[0], np.cumsum(times)])[:-1]).tolist()] if times else [0]
+    last = 1 + sum(times)
+    ranged = F.shiftrightunsigned("_hash", 32)
+    slot = F.lit(0)
+    if times:
+        splits = [-float("inf"), *borders.tolist(), float("inf")]
+        docs = Bucketizer(splits=splits, inputCol="_d", outputCol="_at", handleInvalid="keep").transform(docs.withColumn("_d", F.col("_id").cast("double")))
         at = F.col("_at").cast("int")
-        first = F.element_at(F.lit(base), at + 1)
-        copies = F.element_at(F.lit([1, *times]), at + 1)
-        on_border = F.element_at(F.lit([None, *borders]), at + 1) == F.col("_id")
-        slot = F.when(copies == 1, first).when(on_border, first + F.pmod(F.xxhash64("_text"), copies - 1)).otherwise(first + copies - 1)
-        slot = F.when(F.col("_id").isNull(), F.lit(base[-1] + times[-1])).otherwise(slot)
-        return ranged.withColumn("_shard", slot.cast("int")).drop("_d", "_at"), base[-1] + times[-1] + 1
-    return docs.withColumn("_shard", F.when(F.col("_id").isNull(), 1).otherwise(0)), 2
+        begin, copies = F.element_at(F.lit(base), at + 1), F.element_at(F.lit([1, *times]), at + 1)
+        on_border = F.element_at(F.lit([None, *exact]), at + 1) == F.col("_id")
+        slot = F.when(copies == 1, begin).when(on_border, begin + F.shiftright(ranged * (copies - 1), 31)).otherwise(begin + copies - 1)
+    slot = F.when(F.col("_id").isNull(), last + F.shiftright(ranged * without, 31)).otherwise(slot)
+    return docs.withColumn("_shard", slot.cast("int")).select("_shard", "_id", "_hash", "_text"), last + without
 
 
 def write_records(docs: DataFrame, tokenizer: str, uri: str, *, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> dict:
-    """Write docs' ids as shards under uri in ascending doc_id order (equal ids by text, null ids last) and return the manifest.
+    """Write docs' ids as shards under uri in ascending doc_id order (equal ids by their texts' hash, null ids last) and return the manifest.
 
-    Null and empty texts become a record with the end id alone; repeated rows are records each; an empty table gives a manifest
-    without shards; other columns are not read. Texts move once, into shards of about equal numbers of documents; a task holds one
-    batch of texts and its shard's index, and gives back one row for each shard, which is all that reaches the driver.
+    Null and empty texts become a record with the end id alone, texts of any length one record; repeated rows are records each; an
+    empty table gives a manifest without shards; other columns are not read. Texts move once, into shards of about equal numbers of
+    documents; a task holds one batch of texts and its shard's index, and gives back one row for each shard. That, and the sample for
+    the shards' borders, is all that reaches the driver.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-planned_bytes(slim) // shard_bytes))
-    ranged, shards = _shards(slim, doc_id, n)
+    ranged, shards = by_order(slim, n_shards(slim, shard_bytes))
     fs, root = filesystem(uri)
     fs.create_dir(root)
-    dealt = ranged.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_id", "_text")
-    done = dealt.select("_shard", "_id", "_text").mapInArrow(_writer(uri, tokenizer), "shard int, n_docs bigint, n_ids bigint").collect()
+    dealt = ranged.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_id", "_hash", "_text")
+    with cleaning(docs.sparkSession):
+        done = dealt.select("_shard", "_id", "_text").mapInArrow(_writer(uri, tokenizer), "shard int, n_docs bigint, n_ids bigint").collect()
     before, listed = 0, []
     for r in sorted(done, key=lambda r: r.shard):
         listed.append({"shard": r.shard, "n_docs": r.n_docs, "n_ids": r.n_ids, "start": before})
