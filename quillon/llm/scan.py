@@ -194,10 +194,12 @@ class Memo:
 
 
 def text_sums(values: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-    """Sums of consecutive values, per_text of them for each text."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return np.diff(total[ragged(per_text)], axis=0)
+    """Sums of consecutive values, per_text of them for each text; a sum depends on its own values alone."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    out, some = np.zeros((len(per_text), *values.shape[1:]), kind), per_text > 0
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(kind, copy=False), ragged(per_text)[:-1][some], axis=0)
+    return out
 
 
 @lru_cache(maxsize=1)
