@@ -4,25 +4,30 @@ Counts of all uni- and bigrams of the training texts are merged exactly, bucket
 its level floor(log2 c) + 1, and an n-gram of level l is held as the l items (n-gram, 1) ... (n-gram, l) of a Bloom filter; every bucket has
 a segment of the filter of its own. A count is read back by probing level 1, 2, ... until one is absent. Probabilities are
 P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU) with P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter.
+
+The filter holds every n-gram and grows with the corpus. While it is small it is broadcast; a larger one stays in its segments, and
+the distinct n-grams of blocks of texts are sent to them and their counts sent back. Both ways read the same filter and give the
+same scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import buckets_for, map_batches, mix64, prepared, ragged, share, trim, written
+from quillon.llm.common import Scratch, buckets_for, map_batches, mix64, prepared, ragged, share, trim, written
 
 MU = 1000.0
-#: Bits and probes of an item; bytes that the whole filter may have: beyond, rarer n-grams are left to the smoothing.
-ITEM_BITS, PROBES, MAX_FILTER = 10, 5, 64 << 20
-#: Words whose exact counts may be broadcast (12 bytes each); more are joined by a shuffle.
-MAX_VOCABULARY = 10_000_000
+#: Bits of an item in its segment; it sets three bits in each of two 64-bit words.
+ITEM_BITS = 12
+#: Bytes of the filter and of the words' exact counts up to which both are broadcast.
+MOST_BYTES = 160 << 20
 #: N-grams that a task holds before it merges and passes them on.
 HELD = 1_000_000
 
@@ -102,146 +107,253 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """A bucket's exact counts: all unigrams and bigrams; levels: how many n-grams have each."""
+    """The exact counts of a bucket's words or bigrams."""
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
     keys, counts = _merge(*_read(table))
-    levels = np.bincount(np.minimum(level(counts), 63), minlength=64)
     total, distinct = int(counts.sum()), len(keys)
-    row = {"kind": [kind], "bucket": [bucket], "keys": [keys.tobytes()], "counts": [np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()], "total": [total], "distinct": [distinct], "levels": [levels.tolist()]}
-    return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("levels", pa.list_(pa.int64()))]))
+    row = {"kind": [kind], "bucket": [bucket], "keys": [keys.tobytes()], "counts": [np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()], "total": [total], "distinct": [distinct]}
+    return pa.table(row, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
 
 
 def _items(keys: np.ndarray, l: int | np.ndarray) -> np.ndarray:  # noqa: E741
     return mix64(keys ^ (np.asarray(l).astype(np.uint64) * _LEVEL))
 
 
-def _slots(items: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-    step = (items >> np.uint64(17)) | np.uint64(1)
-    for k in range(PROBES):
-        yield ((items + np.uint64(k) * step) >> np.uint64(20)) % bits
+def _place(items: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word of a segment of `size` words, mask of three of its bits) for each item."""
+    one = np.uint64(1)
+    mask = one << (items & np.uint64(63)) | one << (items >> np.uint64(6) & np.uint64(63)) | one << (items >> np.uint64(12) & np.uint64(63))
+    return ((items >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), mask
 
 
-def _segment(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = _read(table)
-        l = level(counts)  # noqa: E741
-        keys, l = keys[l >= least], l[l >= least]  # noqa: E741
-        n = int(l.sum())
-        bits = max(64, -(-n * ITEM_BITS // 64) * 64)
-        out = np.zeros(bits, bool)
-        items = _items(np.repeat(keys, l), np.arange(n) - np.repeat(ragged(l)[:-1], l) + 1)
-        for slot in _slots(items, np.uint64(bits)):
-            out[slot.astype(np.int64)] = True
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+def _second(items: np.ndarray) -> np.ndarray:
+    return mix64(items + _PREV)
 
-    return run
 
+def segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The words of a bucket's segment."""
+    l = level(counts)  # noqa: E741
+    n = int(l.sum())
+    out = np.zeros(max(1, -(-n * ITEM_BITS // 64)), np.uint64)
+    items = _items(np.repeat(keys, l), np.arange(n) - np.repeat(ragged(l)[:-1], l) + 1)
+    for part in (items, _second(items)):
+        word, mask = _place(part, np.uint64(len(out)))
+        np.bitwise_or.at(out, word, mask)
+    return out
 
-class Filter:
-    """Segments of a log-frequency Bloom filter in one array."""
 
-    def __init__(self, segments: dict[int, bytes], buckets: int, total: int, vocabulary: int):
-        self.buckets, self.total, self.vocabulary = buckets, total, vocabulary
-        sizes = np.array([len(segments.get(b, b"\0" * 8)) for b in range(buckets)])
-        self.bits, self.start = (sizes * 8).astype(np.uint64), ragged(sizes)[:-1] * 8
-        self.data = np.frombuffer(b"".join(segments.get(b, b"\0" * 8) for b in range(buckets)), np.uint8)
+def _segment(table: pa.Table) -> pa.Table:
+    """A bucket's segment, with the exact counts of its words."""
+    keys, counts = _read(table)
+    words = table.filter(pc.equal(table["kind"], 0))
+    word_keys, word_counts = _read(words) if len(words) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    row = {"bucket": [table["bucket"][0].as_py()], "bits": [segment(keys, counts).tobytes()], "keys": [word_keys.tobytes()], "counts": [word_counts.astype(np.uint32).tobytes()]}
+    return pa.table(row, schema=pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the level up to which all items are present (level 1 is the count 1); 0 if the first is absent."""
-        found, todo, l = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1  # noqa: E741
+class Filter:
+    """Segments of a log-frequency Bloom filter in one array: those of all buckets, or of some."""
+
+    def __init__(self, segments: dict[int, pa.Buffer | bytes], buckets: int):
+        self.buckets = buckets
+        empty = b"\0" * 8
+        parts = [np.frombuffer(segments.get(b, empty), np.uint64) for b in range(buckets)]
+        self.size, self.start = np.array([len(x) for x in parts], np.uint64), ragged(np.array([len(x) for x in parts], np.int64))[:-1]
+        self.data = np.concatenate(parts)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level up to which all items are present; 0 if the first is absent."""
+        found, todo, l = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1  # noqa: E741
         bucket = bucket_of(keys, self.buckets)
-        bits, start = self.bits[bucket], self.start[bucket]
+        size, start = self.size[bucket], self.start[bucket]
         while len(todo) and l < 64:
             items, on = _items(keys[todo], l), todo
-            step = (items >> np.uint64(17)) | np.uint64(1)
-            for k in range(PROBES):
-                at = start[on] + (((items + np.uint64(k) * step) >> np.uint64(20)) % bits[on]).astype(np.int64)
-                hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                on, items, step = on[hit], items[hit], step[hit]
+            for again in (False, True):
+                items = _second(items) if again else items
+                word, mask = _place(items, size[on])
+                hit = self.data[start[on] + word] & mask == mask
+                on, items = on[hit], items[hit]
             found[on] = l
             todo, l = on, l + 1  # noqa: E741
-        return np.where(found > 1, 0.75 * 2.0**found, found.astype(float))
-
-
-def _score(batch: dict, shared, words) -> dict:
-    """Tokens and the model's score of each text; with exact counts at hand the base and known tokens, else the words to be joined."""
-    model: Filter = shared.value
-    n_out, score, known, base, keys_out, times_out, n_keys = [], [], [], [], [], [], []
+        return found
+
+
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of its range (level 1 is the count 1)."""
+    return np.where(levels > 1, 0.75 * 2.0**levels, levels.astype(float))
+
+
+def _scores(keys: np.ndarray, n: np.ndarray, level_of: Callable, exact_of: Callable, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(model's score, base score, known tokens) of each text of tokens `keys`, `n` of them in each."""
+    before, both = pairs(keys, n)
+    unique, back = np.unique(keys, return_inverse=True)
+    exact = exact_of(unique)
+    known, base = (exact > 0).astype(np.int64)[back], np.log10((exact + 1.0) / (total + vocabulary + 1))[back]
+    seen = middle(level_of(unique))[back]
+    seen_before = np.empty_like(seen)
+    seen_before[1:] = seen[:-1]
+    seen_before[ragged(n)[:-1]] = middle(level_of(np.array([END])))[0]  # every text begins once and ends once
+    p1 = (seen + 1) / (total + vocabulary + 1)
+    joint = np.minimum(middle(level_of(both)), seen_before)
+    score = np.log10((joint + MU * p1) / (seen_before + MU))
+    return scan.text_sums(score, n), scan.text_sums(base, n), scan.text_sums(known, n)
+
+
+def found_at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of wanted keys among ascending keys; 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(0))
+
+
+def _score(batch: dict, shared, words, total: int, vocabulary: int) -> dict:
+    """Scores of texts with the whole filter and the exact counts at hand."""
+    model, (word_keys, word_counts) = shared.value, words.value
+    parts, lengths = [], []
     for _, _, block in scan.blocks(batch["_text"], lower=True):
         keys, n = tokens(block)
-        before, both = pairs(keys, n)
-        unique, back = np.unique(keys, return_inverse=True)
-        once = model.counts(unique)
-        seen = once[back]
-        seen_before = np.empty_like(seen)
-        seen_before[1:] = seen[:-1]
-        seen_before[ragged(n)[:-1]] = model.counts(np.array([END]))[0]  # every text begins once and ends once
-        p1 = (seen + 1) / (model.total + model.vocabulary + 1)
-        joint = np.minimum(model.counts(both), seen_before)
-        score.append(scan.text_sums(np.log10((joint + MU * p1) / (seen_before + MU)), n))
-        n_out.append(n)
-        if words is not None:
-            all_keys, all_counts = words.value
-            at = np.minimum(np.searchsorted(all_keys, unique), max(len(all_keys) - 1, 0))
-            exact = np.where(all_keys[at] == unique, all_counts[at], 0) if len(all_keys) else np.zeros(len(unique), np.int64)
-            known.append(scan.text_sums((exact > 0).astype(np.int64)[back], n))
-            base.append(scan.text_sums(np.log10((exact + 1.0) / (model.total + model.vocabulary + 1))[back], n))
-        else:
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((keys, row))
-            first = np.flatnonzero(np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (row[order][1:] != row[order][:-1])]))
-            keys_out.append(keys[order][first])
-            times_out.append(np.diff(np.append(first, len(order))))
-            n_keys.append(np.bincount(row[order][first], minlength=len(n)))
-    out = {"_id": batch["_id"], "_n": np.concatenate(n_out), "_score": np.concatenate(score)}
-    if words is not None:
-        return out | {"_known": np.concatenate(known), "_base": np.concatenate(base)}
-    at = pa.array(ragged(np.concatenate(n_keys)), pa.int32())
-    lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).view(np.int64))) for x in (keys_out, times_out)]
-    return out | {"_hash": batch["_hash"], "_keys": lists[0], "_times": lists[1]}
-
-
-def _unpacked(table: pa.Table) -> pa.Table:
-    keys, counts = _read(table)
-    return pa.table({"_key": pa.array(keys.view(np.int64)), "_c": pa.array(counts)})
+        parts.append(_scores(keys, n, model.levels, lambda u: found_at(word_keys, word_counts, u), total, vocabulary))
+        lengths.append(n)
+    score, base, known = (np.concatenate(x) for x in zip(*parts))
+    return {"_id": batch["_id"], "_n": np.concatenate(lengths), "_score": score, "_known": known, "_base": base}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts as rows (block, ids, numbers of tokens, distinct words, tokens as places among them); a block's number holds its task's."""
+    from pyspark import TaskContext
+
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def row() -> pa.RecordBatch:
+        ids = pa.concat_arrays([h[0] for h in held])
+        n = np.concatenate([h[1] for h in held])
+        words, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (n.astype(np.int64), words, tokens.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *binary], ["block", "ids", "n", "words", "tokens"])
+
+    for batch in batches:
+        for first, last, block in scan.blocks(batch.column(1), lower=True):
+            keys, n = tokens(block)
+            held.append((batch.column(0).slice(first, last - first), n, keys))
+            size += len(keys)
+            if size >= HELD:
+                yield row()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield row()
+
+
+def _wanted(n: np.ndarray, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of a block, its distinct words and the end, its distinct bigrams), both ascending."""
+    keys = words[places]
+    return keys, np.unique(np.append(words, END)), np.unique(pairs(keys, n)[1])
 
 
-def scored(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", most_words: int = MAX_VOCABULARY, most_bytes: int = MAX_FILTER) -> DataFrame:
+def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["n"], np.int64), np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32)
+
+
+def _asked(buckets: int):
+    """Rows (bucket, block, kind, keys): the distinct words (0) and bigrams (1) of each block, dealt by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for kind, wanted in enumerate(_wanted(*_arrays(row))[1:]):
+                    cut = np.searchsorted(bucket_of(wanted, buckets), np.arange(buckets + 1))
+                    rows = np.flatnonzero(np.diff(cut)).tolist()
+                    for i in range(0, len(rows), 256):
+                        part = rows[i : i + 256]
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([row["block"]] * len(part), pa.int64()), pa.array([kind] * len(part), pa.int32()), pa.array([wanted[cut[b] : cut[b + 1]].tobytes() for b in part], pa.binary())], ["bucket", "block", "kind", "keys"])
+
+    return run
+
+
+ANSWER = "block bigint, kind int, bucket int, levels binary, counts binary"
+
+
+def _answered(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Levels of what blocks ask of one bucket, in the order asked, and exact counts of its words."""
+    out = {c: [] for c in ("block", "kind", "bucket", "levels", "counts")}
+    model = Filter({0: held["bits"][0].as_buffer()}, 1) if len(held) else Filter({}, 1)
+    words, counts = (np.frombuffer(held[c][0].as_buffer(), t) if len(held) else np.zeros(0, t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
+    for row in asked.to_pylist():
+        keys = np.frombuffer(row["keys"], np.uint64)
+        out["levels"].append(model.levels(keys).tobytes())
+        out["counts"].append(b"" if row["kind"] else found_at(words, counts, keys).tobytes())
+        for c in ("block", "kind", "bucket"):
+            out[c].append(row[c])
+    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())]))
+
+
+def _gathered(total: int, vocabulary: int):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        """Scores of a block's texts from the answers to what it asked."""
+        n, words, places = _arrays(block.select(["n", "words", "tokens"]).to_pylist()[0])
+        keys, unigrams, bigrams = _wanted(n, words, places)
+        rows = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        join = lambda name, kind, of: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in rows if r["kind"] in of)])
+        exact, levels = join("counts", np.uint32, (0,)), [join("levels", np.uint8, (k,)) for k in (0, 1)]
+        if len(exact) != len(unigrams) or len(levels[1]) != len(bigrams):
+            raise ValueError("a block's answers are not whole")
+        asked = np.concatenate([unigrams, bigrams])
+        order = np.argsort(asked, kind="stable")
+        asked, levels = asked[order], np.concatenate(levels)[order]
+        score, base, known = _scores(keys, n, lambda x: found_at(asked, levels, x), lambda x: found_at(unigrams, exact, x), total, vocabulary)
+        return pa.table({"_id": block["ids"].combine_chunks().flatten(), "_n": pa.array(n), "_score": pa.array(score), "_known": pa.array(known), "_base": pa.array(base)})
+
+    return run
+
+
+def scored(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """_id, _n (tokens with the end), _known, _total (training tokens), _base, _score of every whole text.
 
     Learns from rows for which `learn` (over `_id`) holds, all of them. Null and empty texts are one end token; repeated rows count
     as often as they occur in learning and are scored each; with nothing to learn every count is 0; an empty table gives an empty
-    result; other columns are not read. N-grams travel merged, as blocks of a hash bucket, so a frequent word is one entry of a block.
+    result; other columns are not read. Texts of any length are read whole; a long one is a block by itself. N-grams travel merged,
+    as blocks of a hash bucket, so a frequent word is one entry of a block. `most_bytes` chooses the way, never a score: up to it
+    the filter is broadcast, beyond it n-grams are sent to the filter's segments.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     buckets = buckets_for(rows)
-    blocks = rows.filter(learn).select("_text").mapInArrow(_counted(buckets), "kind int, bucket int, keys binary, counts binary")
-    merged = blocks.groupBy("kind", "bucket").applyInArrow(_merged, "kind int, bucket int, keys binary, counts binary, total bigint, distinct bigint, levels array<bigint>")
-    merged = written(merged, "ngrams")
-    facts = merged.groupBy("kind").agg(F.sum("total").alias("t"), F.sum("distinct").alias("v"), *[F.sum(F.col("levels")[i]).alias(f"l{i}") for i in range(64)]).collect()
-    uni = next((r for r in facts if r.kind == 0), None)
-    total, vocabulary = (uni.t, uni.v) if uni else (0, 0)
-    least = next(k for k in range(1, 65) if sum(r[f"l{i}"] * i for r in facts for i in range(k, 64)) * ITEM_BITS <= most_bytes * 8)
-    segments = merged.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_segment(least), "bucket int, bits binary").collect()
-    shared = spark.sparkContext.broadcast(Filter({r.bucket: bytes(r.bits) for r in segments}, buckets, total, vocabulary))
-    kind = rows.schema["_id"].dataType.simpleString()
-    if vocabulary <= most_words:
-        parts = sorted((r.bucket, bytes(r["keys"]), bytes(r["counts"])) for r in merged.filter("kind = 0").select("bucket", "keys", "counts").collect())
-        table = (np.frombuffer(b"".join(p[1] for p in parts), np.uint64), np.frombuffer(b"".join(p[2] for p in parts), np.uint32))
-        out = map_batches(rows, _score, f"_id {kind}, _n bigint, _score double, _known bigint, _base double", shared, spark.sparkContext.broadcast(table))
-        return out.select("_id", "_n", "_known", F.lit(total).cast("long").alias("_total"), "_base", "_score")
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
-    out = written(map_batches(rows, _score, f"_id {kind}, _n bigint, _score double, _hash bigint, _keys array<bigint>, _times array<bigint>", shared, None), "word-counts")
-    long = out.dropDuplicates(["_id", "_hash"]).select("_id", "_hash", F.explode(F.arrays_zip("_keys", "_times")).alias("w")).select("_id", "_hash", F.col("w._keys").alias("_key"), F.col("w._times").alias("_t"))
-    counts = merged.filter("kind = 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_unpacked, "_key bigint, _c bigint")
-    share_ = F.log10((F.coalesce("_c", F.lit(0)) + 1.0) / (total + vocabulary + 1))
-    sums = long.join(counts, "_key", "left").groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.sum(F.when(F.col("_c") > 0, F.col("_t")).otherwise(0)).alias("_known"), F.sum(F.col("_t") * share_).alias("_base"))
-    joined = out.drop("_keys", "_times").join(sums, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")))
-    return joined.select("_id", "_n", "_known", F.lit(total).cast("long").alias("_total"), "_base", "_score")
+    with Scratch(spark) as scratch:
+        counted = rows.filter(learn).select("_text").mapInArrow(_counted(buckets), "kind int, bucket int, keys binary, counts binary")
+        merged = counted.groupBy("kind", "bucket").applyInArrow(_merged, "kind int, bucket int, keys binary, counts binary, total bigint, distinct bigint")
+        merged = scratch.written(merged, "ngrams")
+        words = merged.filter("kind = 0").agg(F.sum("total").alias("t"), F.sum("distinct").alias("v")).collect()[0]
+        total, vocabulary = words.t or 0, words.v or 0
+        held = merged.groupBy("bucket").applyInArrow(_segment, "bucket int, bits binary, keys binary, counts binary")
+        held = scratch.written(held, "segments")
+        scratch.drop(merged)
+        size = held.agg(F.sum(F.length("bits") + F.length("keys") + F.length("counts"))).collect()[0][0] or 0
+        kind = rows.schema["_id"].dataType.simpleString()
+        schema = f"_id {kind}, _n bigint, _score double, _known bigint, _base double"
+        if size <= most_bytes:
+            out = map_batches(rows, _score, schema, *_broadcast(held, buckets), total, vocabulary)
+        else:
+            blocks = scratch.written(rows.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, n binary, words binary, tokens binary"), "blocks")
+            asked = blocks.drop("ids").mapInArrow(_asked(buckets), "bucket int, block bigint, kind int, keys binary")
+            answers = scratch.written(asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_answered, ANSWER), "answers")
+            out = written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_gathered(total, vocabulary), schema), "scores")
+    return out.select("_id", "_n", "_known", F.lit(total).cast("long").alias("_total"), "_base", "_score")
+
+
+def _broadcast(held: DataFrame, buckets: int) -> tuple:
+    """The whole filter and the exact counts, ascending by word, on every executor; they pass the driver as Arrow buffers."""
+    spark = held.sparkSession
+    table = held.select("bucket", "bits").toArrow()
+    model = spark.sparkContext.broadcast(Filter({b: x.as_buffer() for b, x in zip(table["bucket"].to_pylist(), table["bits"])}, buckets))
+    table = held.select("bucket", "keys", "counts").toArrow().sort_by("bucket")
+    columns = [np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in table[c])]) for c, t in (("keys", np.uint64), ("counts", np.uint32))]
+    del table
+    trim()
+    return model, spark.sparkContext.broadcast(columns)
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A row without an id has no remainder: its held_out is null and nothing is learned from it."""
     found = scored(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"), share("_id", 7) != 2)
     return found.select(
         F.col("_id").alias("doc_id"), (share("_id", 7) == 2).alias("held_out"), F.col("_n").alias("n_tokens"), F.col("_known").alias("n_known"), F.col("_total").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"),
