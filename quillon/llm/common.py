@@ -183,6 +183,18 @@ def trim() -> None:
         _libc().malloc_trim(0)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What make() gave for the key in this process. One thing is held at a time: a worker that turns to another operator lets go of the last one's."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

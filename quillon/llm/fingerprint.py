@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import mix64, prepared, ragged
+from quillon.llm.common import mix64, prepared, ragged, trim
 from quillon.llm.records import by_order, n_shards
 
 
@@ -202,6 +202,7 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=[f.split(" ")[0] for f in SCHEMA.split(", ")],
         )
+    trim()
 
 
 def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:

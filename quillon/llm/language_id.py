@@ -7,6 +7,7 @@ the product over its letter runs. All words of a batch advance together in numpy
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import sampling, scan
-from quillon.llm.common import map_batches, mix64, prepared, ragged, share
+from quillon.llm.common import Scratch, held, map_batches, mix64, prepared, ragged, share
 
-#: Runs of letters are words; longer ones are cut after MAX_RUN characters. Pieces are up to MAX_PIECE characters with the mark.
-RUN, MAX_RUN, MAX_PIECE = re.compile(r"[^\W\d_]+"), 24, 9
+#: Runs of letters are words; longer ones are summed in parts of MAX_RUN characters.
+RUN, MAX_RUN = re.compile(r"[^\W\d_]+"), 24
 MARK = "▁"
 #: Pseudo-count of every piece, in occurrences.
 SMOOTH = 0.05
@@ -42,18 +43,18 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i)}
-        self.names = sorted(p for p in found if len(p) <= MAX_PIECE and (p.replace(MARK, "", 1).isalpha() or p == MARK))
+        self.names = sorted(p for p in found if p.replace(MARK, "", 1).isalpha() or p == MARK)
+        self.longest = max(map(len, self.names))
         self.index = scan.HashIndex()
         keys = np.concatenate([self._keys(*_codes([p]))[len(p) - 1][-1:] for p in self.names])
         self.index.add(keys)
         self.n = len(self.names) + 1
 
-    @staticmethod
-    def _keys(chars: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    def _keys(self, chars: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
         """For each length, the hash of the substring that ends at each character (of any value where it would begin too early)."""
         value, out = _char_values(chars), []
         key = np.zeros(len(chars), np.uint64)
-        for length in range(1, MAX_PIECE + 1):
+        for length in range(1, min(self.longest, int(place.max()) + 1) + 1):
             before = np.concatenate([[np.uint64(0)], key[:-1]]) if length > 1 else key
             key = before * _STEP + value
             out.append(mix64(key + np.uint64(length)))
@@ -64,7 +65,7 @@ class Pieces:
         chars, place = _codes(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         row = np.repeat(np.arange(len(words)), lengths)
-        out = np.zeros((len(words), int(lengths.max()), MAX_PIECE), np.int32)
+        out = np.zeros((len(words), int(lengths.max()), min(self.longest, int(lengths.max()))), np.int32)
         for k, key in enumerate(self._keys(chars, place)):
             fits = np.flatnonzero(place >= k)
             found = self.index.find(key[fits])
@@ -92,7 +93,7 @@ def forward(ends: np.ndarray, lengths: np.ndarray, probs: np.ndarray) -> np.ndar
     out[:, 0] = 1
     for t in range(width):
         rows = np.flatnonzero(lengths > t)
-        for k in range(min(MAX_PIECE, t + 1)):
+        for k in range(min(ends.shape[2], t + 1)):
             piece = ends[rows, t, k]
             hit = piece > 0
             at = rows[hit]
@@ -106,7 +107,7 @@ def backward(ends: np.ndarray, lengths: np.ndarray, probs: np.ndarray) -> np.nda
     out[np.arange(n), lengths] = 1
     for t in range(width - 1, -1, -1):
         rows = np.flatnonzero(lengths > t)
-        for k in range(min(MAX_PIECE, t + 1)):
+        for k in range(min(ends.shape[2], t + 1)):
             piece = ends[rows, t, k]
             hit = piece > 0
             at = rows[hit]
@@ -143,7 +144,7 @@ def fit(texts: list[str], langs: list[str], path: str, *, rounds: int = 3) -> tu
             ends, lengths = model.ends(part)
             a, b = forward(ends, lengths, probs), backward(ends, lengths, probs)
             scale = weight / np.maximum(a[np.arange(len(part)), lengths], 1e-300)
-            for k in range(MAX_PIECE):
+            for k in range(ends.shape[2]):
                 w, t = np.nonzero(ends[:, :, k])
                 piece = ends[w, t, k]
                 gain = a[w, t - k] * probs[piece] * b[w, t + 1] * scale[w]
@@ -185,14 +186,8 @@ class Scorer:
         return np.concatenate(parts)
 
 
-_SCORERS: dict = {}
-
-
 def _predict(batch: dict, path: str, names: list[str], probs: np.ndarray, key: str) -> dict:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(path, probs)
-    sums = _SCORERS[key].sums(batch["_text"])
+    sums = held(("language", key), lambda: Scorer(path, probs)).sums(batch["_text"])
     logs, n = sums[:, :-1], sums[:, -1]
     known = n > 0
     if names:
@@ -206,22 +201,27 @@ def _predict(batch: dict, path: str, names: list[str], probs: np.ndarray, key: s
 
 def identify(docs: DataFrame, tokenizer: str, learn, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_class: int = 500) -> DataFrame:
     """_id, _lang, _score of every whole text. Learns piece probabilities from some per_class documents of each non-null language
-    for which `learn` (a condition over `_id`) holds.
+    for which `learn` (a condition over `_id`) holds; the sample has some sampling.MOST_CHARS characters at most.
 
-    Null texts and texts without a letter get 'und' and score 0; with no labelled text at all every text does. Texts are predicted
-    with equal priors; ties go to the language that sorts first. Repeated rows are rows of their own; other columns are not read.
-    The driver holds the sample and the model (about 30,000 numbers for each language), which is what the executors get.
+    Null texts and texts without a letter get 'und' and score 0; with no labelled text at all, as in an empty table, every text does.
+    Texts of any length are taken whole, and are predicted with equal priors; ties go to the language that sorts first. Repeated
+    rows are rows of their own; other columns are not read. The driver holds the sample and the model (some 30,000 numbers for each
+    language), which is what the executors get.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_label"), F.col(text).cast("string").alias("_text"))
-    ids, _ = sampling.class_sample(rows.filter(learn).filter(F.col("_text").isNotNull() & (F.length("_text") <= sampling.MAX_CHARS)), "_label", "_id", per_class)
-    sample = ids.select("_text", "_label").collect()
-    names, probs = fit([r._text for r in sample], [r._label for r in sample], tokenizer) if sample else ([], np.zeros((pieces(tokenizer).n + 1, 1)))
-    key = f"{tokenizer}-{hash(probs.tobytes())}"
+    with Scratch(docs.sparkSession) as scratch:
+        known = rows.filter(learn)
+        sample = sampling.with_texts(known, sampling.class_sample(known, "_label", "_id", per_class, scratch), ["_id", "_label"])
+        table = sampling.bounded(sample, "_id", "_text", scratch).select("_label", "_text").toArrow()
+    texts, langs = [t or "" for t in table["_text"].to_pylist()], table["_label"].to_pylist()
+    names, probs = fit(texts, langs, tokenizer) if texts else ([], np.zeros((pieces(tokenizer).n + 1, 1)))
+    key = f"{tokenizer}-{hashlib.sha256(probs.tobytes()).hexdigest()}"
     kind = rows.schema["_id"].dataType.simpleString()
     return map_batches(rows.select("_id", "_text"), _predict, f"_id {kind}, _lang string, _score double", tokenizer, names, probs.astype(np.float64), key)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents. A row without an id has no remainder: its held_out is null and nothing is learned from it."""
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, public_tokenizers.path("piece_bpe_32k.model"), share("_id", 5) != 0)
     return found.select(F.col("_id").alias("doc_id"), (share("_id", 5) == 0).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

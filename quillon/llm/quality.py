@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import sampling, scan
-from quillon.llm.common import map_batches, mix64, prepared, ragged, share
+from quillon.llm.common import Scratch, map_batches, mix64, prepared, ragged, share
 
 N_BINS = 64
 
@@ -149,7 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, *, trees: int = 80, de
 
 def _statistics(batch: dict) -> dict:
     x = np.concatenate([statistics(b) for _, _, b in scan.blocks(batch["_text"])])
-    return {"_label": batch["_label"], "_x": pa.ListArray.from_arrays(pa.array(ragged(np.full(len(x), x.shape[1])), pa.int32()), pa.array(x.ravel()))}
+    return {"_label": batch["_label"], "_share": batch["_share"], "_x": pa.ListArray.from_arrays(pa.array(ragged(np.full(len(x), x.shape[1])), pa.int32()), pa.array(x.ravel()))}
 
 
 def _score(batch: dict, model: Trees) -> dict:
@@ -160,24 +160,32 @@ def _score(batch: dict, model: Trees) -> dict:
 def learn(docs: DataFrame, labels: DataFrame, chosen: Column, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", per_class: int = 4000) -> Trees:
     """A model of `label` (0 or 1) from some per_class labelled documents of each class for which `chosen` (over `_id`) holds.
 
-    A class of which only a share was taken is weighted up, so scores keep the natural odds. Only statistics reach the driver.
+    A class of which only a share was taken is weighted up, so scores keep the natural odds. Texts of any length count, as only their
+    statistics reach the driver. Null texts count as empty, repeated rows of a document as often as they occur; without labelled
+    documents, or with one class only, all scores are equal.
     """
-    sample, taken = sampling.labelled_texts(docs, labels, label, chosen, per_class, doc_id=doc_id, text=text)
-    rows = map_batches(sample.withColumn("_label", F.col("_label").cast("int")), _statistics, "_label int, _x array<double>").collect()
-    rows = sorted((r._label, tuple(r._x)) for r in rows)
+    with Scratch(docs.sparkSession) as scratch:
+        sample = sampling.labelled_texts(docs, labels, label, chosen, per_class, scratch, doc_id=doc_id, text=text)
+        sample = sample.select(F.col("_label").cast("int").alias("_label"), "_share", "_text")
+        rows = map_batches(sample, _statistics, "_label int, _share double, _x array<double>").collect()
+    rows = sorted((r._label, tuple(r._x), r._share) for r in rows)
     x, y = np.array([r[1] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[0] for r in rows], float)
-    weight = np.array([1 / taken.get(int(v), 1.0) for v in y])
+    weight = np.array([1 / r[2] for r in rows])
     return fit(x, y, weight / weight.mean() if len(weight) else weight)
 
 
 def scored(docs: DataFrame, model: Trees, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, _score of every whole text: null counts as empty, whose statistics are all zero; other columns are not read."""
+    """_id, _score of every whole text, however long: null counts as empty, whose statistics are all zero.
+
+    Repeated rows are scored each, equal texts alike; an empty table gives an empty result; other columns are not read.
+    """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     return map_batches(rows, _score, f"_id {kind}, _score double", model)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents. A row without an id has no remainder: its held_out is null and nothing is learned from it."""
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), share("_id", 5) != 0)
     return scored(docs, model).select(F.col("_id").alias("doc_id"), (share("_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))

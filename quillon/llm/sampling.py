@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes that one sample may have.
-MAX_CLASSES = 1000
-#: Longer texts are not trained on, which bounds the bytes of a sample; they are scored whole like all others.
-MAX_CHARS = 50_000
+from quillon.llm.common import Scratch
+
+#: Characters of a sample, about: beyond, all classes' shares shrink alike, whatever the texts' lengths. One text is always whole.
+MOST_CHARS = 48 << 20
+#: Rows of a sample (an id, a label and a number each) that may be broadcast.
+FEW = 200_000
 
 
 def draw(key: Column) -> Column:
@@ -16,26 +18,39 @@ def draw(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003)
 
 
-def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> tuple[DataFrame, dict]:
-    """Some per_class rows of each class, chosen by hash of the key, and each class's share of rows taken. Null labels are left out."""
-    rows = rows.filter(F.col(label).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_CLASSES).collect()
-    taken = {r[0]: min(1.0, per_class / r[1]) for r in counts}
-    limit = None
-    for value, share in taken.items():
-        limit = F.when(F.col(label) == F.lit(value), share) if limit is None else limit.when(F.col(label) == F.lit(value), share)
-    if limit is None:
-        return rows.limit(0), taken
-    return rows.filter(draw(F.col(key)) < limit), taken
+def class_sample(rows: DataFrame, label: str, key: str, per_class: int, scratch: Scratch) -> DataFrame:
+    """A written table of some per_class of the rows (key, label) of each class, chosen by hash of the key, with _share: the chance of a row of its class.
+
+    Null keys and labels are left out. The classes aren't bounded: the sample has some per_class rows for each.
+    """
+    rows = rows.select(key, label).filter(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct()
+    shares = rows.groupBy(F.col(label).alias("_class")).agg(F.least(F.lit(1.0), per_class / F.count("*")).alias("_share"))
+    chosen = rows.join(shares, F.col(label) == F.col("_class")).drop("_class").filter(draw(F.col(key)) < F.col("_share"))
+    return scratch.written(chosen, "sample-keys")
+
+
+def with_texts(texts: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """texts whose keys are in the sample, which is broadcast if it has at most FEW rows."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return texts.join(F.broadcast(keys) if few else keys, on)
+
+
+def bounded(sample: DataFrame, key: str, text: str, scratch: Scratch, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The sample as a written table of some most_chars characters at most: if it has more, a part of it by hash, with _share to match."""
+    sample = scratch.written(sample, "sample")
+    chars = sample.agg(F.sum(F.length(text))).collect()[0][0] or 0
+    if chars <= most_chars:
+        return sample
+    part = most_chars / chars
+    return sample.filter(draw(F.col(key)) < F.col("_share") * part).withColumn("_share", F.col("_share") * part)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
-    """(_text, _label) of a class sample of labelled documents for which `learn` (over `_id`) holds, and the shares taken.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _text, _label, _share) of a class sample of labelled documents for which `learn` (over `_id`) holds.
 
-    A document with labels that differ counts by the greatest. The sample's ids are at most MAX_CLASSES * per_class in expectation
-    and are broadcast, so texts are not shuffled; texts beyond MAX_CHARS are left out.
+    A document with labels that differ counts by the greatest. The chance of a document depends on its class and id alone, not on its
+    length or on whether other labels have a document, so 1 / _share is its weight.
     """
     ids = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.max("_label").alias("_label"))
-    ids, taken = class_sample(ids.filter(learn), "_label", "_id", per_class)
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).filter(F.coalesce(F.length("_text"), F.lit(0)) <= MAX_CHARS)
-    return texts.join(F.broadcast(ids), "_id").select("_text", "_label"), taken
+    ids = class_sample(ids.filter(learn), "_label", "_id", per_class, scratch)
+    return with_texts(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")), ids, ["_id"])

@@ -159,7 +159,7 @@ class HashIndex:
 class Memo:
     """Values of words seen lately by hash. compute(words as bytes) gives an array; beyond `limit` words it starts anew."""
 
-    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = 1_500_000, join: Callable | None = None):
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = 600_000, join: Callable | None = None):
         self.compute, self.limit, self.join = compute, limit, join
         self.index, self.values, self.parts = HashIndex(), None, []
 

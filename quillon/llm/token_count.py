@@ -7,7 +7,6 @@ rank, and all rows merge all occurrences of that pair at once; rows without a pa
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Memo, map_batches, prepared, ragged
+from quillon.llm.common import Memo, held, map_batches, prepared, ragged
 
 NONE = np.int32(2**31 - 1)
 #: A space that does not by itself begin a pre-token: another white space or the end follows.
@@ -154,9 +153,8 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + next(hidden)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("token counts", path), lambda: Counter(path))
 
 
 def _count(batch: dict, path: str, text_col: str) -> dict:
@@ -169,7 +167,8 @@ def token_counts(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; other columns are not read; an empty table
-    gives an empty result. One narrow pass without a shuffle; memory is a batch of texts plus a memo of bounded size.
+    gives an empty result. Texts of any length are counted whole; a single word of very many letters takes time that grows faster
+    than its length. One narrow pass without a shuffle; memory is a batch of texts plus a memo of bounded size.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()

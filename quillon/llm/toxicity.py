@@ -7,6 +7,7 @@ seen. For scoring, the map is folded into one number for each n-gram bucket, so
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import sampling, scan
-from quillon.llm.common import map_batches, mix64, prepared, ragged, share
+from quillon.llm.common import Scratch, held, map_batches, mix64, prepared, ragged, share, trim
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5, 6, 7, 8)
 #: Words that are averaged: a text is as toxic as its most toxic window, so a lone passage in a long text isn't diluted.
@@ -35,6 +36,8 @@ _KEPT[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 def grams(words: list[bytes], chunk: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all n-grams of the words between marks, and of the words themselves; how many each word has)."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     parts = [_grams(words[i : i + chunk]) for i in range(0, len(words), chunk)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -88,10 +91,10 @@ class Model:
 
     def __init__(self, folded: np.ndarray, bias: float):
         self.folded, self.bias = folded.astype(np.float32), bias
-        self.memo = None
+        self.key, self.memo = hashlib.sha256(self.folded.tobytes() + repr(bias).encode()).digest(), None
 
     def __getstate__(self):
-        return {"folded": self.folded, "bias": self.bias, "memo": None}
+        return {"folded": self.folded, "bias": self.bias, "key": self.key, "memo": None}
 
     def _words(self, new: list[bytes]) -> np.ndarray:
         found, n = grams(new)
@@ -179,7 +182,7 @@ def _bag(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, *, rounds: int = 8, epochs: int = 3, rate: float = 0.03, seed: int = 3) -> Model:
-    """Whole texts first; then rounds on the windows that the model finds most toxic: one of each toxic text, HARD of each other.
+    """Trains on texts, which are used up. Whole texts first; then rounds on the windows that the model finds most toxic: one of each toxic text, HARD of each other.
 
     Without both classes only the bias remains.
     """
@@ -188,7 +191,11 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, *, rounds: int = 8,
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), float(bias[1]))
     number: dict[bytes, int] = {}
-    rows = [np.array([number.setdefault(w, len(number)) for w in text.encode("utf-8", "replace").lower().split()], np.int64) for text in texts]
+    rows = []
+    while texts:  # texts are not needed once their words are numbered
+        words = texts.pop().encode("utf-8", "replace").lower().split()
+        rows.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+    rows.reverse()
     bags = [_bag(r) for r in rows]
 
     def texts_of_gram(t: _Trainer) -> np.ndarray:
@@ -198,7 +205,9 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, *, rounds: int = 8,
         return out
 
     t = _Trainer(list(number), texts_of_gram, bias, seed)
+    del number, words
     t.train(bags, y, weight, 1, rate)
+    bags.clear()
     for _ in range(rounds):
         margins = t.word_margins()
         chosen, labels, weights = [], [], []
@@ -212,36 +221,44 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, *, rounds: int = 8,
             labels += [label] * len(best)
             weights += [w / len(best)] * len(best)
         t.train(chosen, np.array(labels), np.array(weights) / np.mean(weights), epochs, rate)
-    return Model(t.vectors @ (t.linear[:, 1] - t.linear[:, 0]), float(t.bias[1] - t.bias[0]))
+    model = Model(t.vectors @ (t.linear[:, 1] - t.linear[:, 0]), float(t.bias[1] - t.bias[0]))
+    del t, rows, chosen
+    trim()
+    return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, chosen: Column, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = 1500) -> Model:
-    """A model of `label` (0 or 1) from some per_class labelled documents of each class for which `chosen` (over `_id`) holds."""
-    sample, taken = sampling.labelled_texts(docs, labels, label, chosen, per_class, doc_id=doc_id, text=text)
-    rows = sorted((int(r._label), r._text or "") for r in sample.collect())
-    y = np.array([r[0] for r in rows], float)
-    weight = np.array([1 / taken.get(int(v), 1.0) for v in y])
-    return fit([r[1] for r in rows], y, weight / weight.mean() if len(weight) else weight)
+    """A model of `label` (0 or 1) from some per_class labelled documents of each class for which `chosen` (over `_id`) holds.
+
+    Whole texts of any length; the sample has some sampling.MOST_CHARS characters at most. Null texts count as empty and teach the
+    bias only, repeated rows count as often as they occur; without labelled documents, or with one class only, all scores are equal.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        sample = sampling.labelled_texts(docs, labels, label, chosen, per_class, scratch, doc_id=doc_id, text=text)
+        table = sampling.bounded(sample, "_id", "_text", scratch).select("_label", "_share", "_text").toArrow()
+    rows = sorted(zip(table["_label"].to_pylist(), (t or "" for t in table["_text"].to_pylist()), table["_share"].to_pylist()))
+    del table
+    y = np.array([float(r[0]) for r in rows])
+    weight = np.array([1 / r[2] for r in rows])
+    texts = [r[1] for r in rows]
+    del rows
+    return fit(texts, y, weight / weight.mean() if len(weight) else weight)
 
 
 def _score(batch: dict, model: Model) -> dict:
     return {"_id": batch["_id"], "_score": _held(model).scores(batch["_text"])}
 
 
-_MODELS: dict = {}
-
-
 def _held(model: Model) -> Model:
     """One model of equal content for all tasks of a worker, with its memo."""
-    key = (model.bias, hash(model.folded.tobytes()))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = model
-    return _MODELS[key]
+    return held(("toxicity", model.key), lambda: model)
 
 
 def scored(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, _score of every whole text; null counts as empty, and an empty text has the bias alone; other columns are not read."""
+    """_id, _score of every whole text, however long; null counts as empty, and an empty text has the bias alone.
+
+    Repeated rows are scored each, equal texts alike; an empty table gives an empty result; other columns are not read.
+    """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     return map_batches(rows, _score, f"_id {kind}, _score double", model)
@@ -252,6 +269,7 @@ def _below(limit: float, model: Model, text: str):
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_held(model).scores(batch.column(text)) < limit))
+        trim()
 
     return run
 
@@ -262,6 +280,7 @@ def kept(docs: DataFrame, model: Model, limit: float, *, text: str = "text") ->
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents. A row without an id has no remainder: its held_out is null and nothing is learned from it."""
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), share("_id", 3) != 1)
     return scored(docs, model).select(F.col("_id").alias("doc_id"), (share("_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
