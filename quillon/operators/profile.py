@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -317,6 +317,14 @@ def roles(df: DataFrame, manifest: dict[str, str] | None = None) -> dict[str, li
     return out
 
 
+def leakage_review(spark: SparkSession, columns: list[str], predictors: list[str], targets: list[str], group_key: str, review: list[str]) -> DataFrame:
+    """(check, result): targets among the predictors, predictors named like targets, whether rows can be split by group, and columns to look at."""
+    named = sorted({c for t in targets for c in suspicious(predictors, t)})
+    found = [c for c in targets if c in predictors]
+    rows = [("targets among predictors", ", ".join(found) or "none"), ("predictors named like targets", ", ".join(named) or "none"), ("group key for splits", "yes" if group_key in columns else "no"), ("columns to review", ", ".join(c for c in review if c in columns) or "none")]
+    return spark.createDataFrame(rows, "check string, result string")
+
+
 def suspicious(columns: list[str], target: str) -> dict[str, str]:
     """Columns whose names tell of the target or the future: a leakage review."""
     stem = target.removeprefix("next_")

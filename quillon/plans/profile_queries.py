@@ -247,9 +247,30 @@ def majority_baseline(t: Tables) -> DataFrame:
     return rows.agg(*models.classification(F.col("y"), F.col("p")))
 
 
-@query()
+def _tree_sql(depth: int, least: int) -> str:
+    """Gini splits level by level over counts of each feature's values; n<depth> holds every row's node."""
+    out = "n0 AS (SELECT l_quantity AS q, l_discount AS d, l_tax AS t, CAST(l_extendedprice > 40000 AS INT) AS y, l_orderkey % 100 < 30 AS test, 1 AS node FROM lineitem)"
+    for k in range(depth):
+        out += f""", v{k} AS (SELECT node, f, v, count(*) AS n, sum(y) AS p FROM (SELECT node, unnest(['a', 'b', 'c']) AS f, unnest([q, d, t]) AS v, y FROM n{k} WHERE NOT test) GROUP BY 1, 2, 3),
+c{k} AS (SELECT node, f, v, sum(n) OVER w AS nl, sum(p) OVER w AS pl, sum(n) OVER (PARTITION BY node, f) AS na, sum(p) OVER (PARTITION BY node, f) AS pa FROM v{k} WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+g{k} AS (SELECT *, 2 * pa / na * (1 - pa / na) - (nl * 2 * pl / nl * (1 - pl / nl) + (na - nl) * 2 * (pa - pl) / (na - nl) * (1 - (pa - pl) / (na - nl))) / na AS gain FROM c{k} WHERE nl >= {least} AND na - nl >= {least}),
+b{k} AS (SELECT * FROM g{k} WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1),
+n{k + 1} AS (SELECT q, d, t, y, test, CASE WHEN b.f IS NULL THEN n.node WHEN (CASE b.f WHEN 'a' THEN q WHEN 'b' THEN d ELSE t END) <= b.v THEN 2 * n.node ELSE 2 * n.node + 1 END AS node FROM n{k} n LEFT JOIN b{k} b ON n.node = b.node)"""
+    return out
+
+
+@query(f"""WITH {_tree_sql(3, 20)}, l AS (SELECT node, CAST(2 * sum(y) > count(*) AS INT) AS p FROM n3 WHERE NOT test GROUP BY 1), r AS (SELECT n3.y, l.p FROM n3 JOIN l ON n3.node = l.node WHERE test)
+SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn,
+round((coalesce(count(*) FILTER (y = 1 AND p = 1) / nullif(count(*) FILTER (y = 1), 0), 0) + coalesce(count(*) FILTER (y = 0 AND p = 0) / nullif(count(*) FILTER (y = 0), 0), 0)) / 2, 6) AS balanced_accuracy,
+round(coalesce(2 * count(*) FILTER (y = 1 AND p = 1) / nullif(2 * count(*) FILTER (y = 1 AND p = 1) + count(*) FILTER (y = 0 AND p = 1) + count(*) FILTER (y = 1 AND p = 0), 0), 0), 6) AS f1 FROM r""")
 def tree_metrics(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("y", (F.col("l_extendedprice") > 40000).cast("int"))
     train, test = models.split(rows, "l_orderkey")
     features = ["l_quantity", "l_discount", "l_tax"]
     return models.predicted(models.tree(train, features, "y"), test, features).agg(*models.classification(F.col("y"), F.col("prediction")))
+
+
+@query("SELECT unnest(['targets among predictors', 'predictors named like targets', 'group key for splits', 'columns to review']) AS \"check\", unnest(['next_views', 'change_views, next_views', 'yes', 'lag1_views']) AS result")
+def leakage_review(t: Tables) -> DataFrame:
+    rows = panel.targets(panel_queries.years(t), "customer", "period", ["views"])
+    return profile.leakage_review(t.spark, rows.columns, ["views", "lag1_views", "change_views", "next_views"], ["next_views"], "customer", ["lag1_views", "absent"])

@@ -366,3 +366,16 @@ def test_classification_without_positives(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "a int, p int")
     row = df.agg(*models.classification(F.col("a"), F.col("p"))).collect()[0]
     assert (row.f1, row.balanced_accuracy, row.tn) == (0.0, 0.5, 2)
+
+
+def test_scans_read_few_columns_and_push_filters(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_totalprice > 150000").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan and "GreaterThan(o_totalprice,150000.0)" in plan
+
+
+def test_stages_of_one_source_meet_that_source_only(spark):
+    """The source is part of the cascade's join key, so the filter after the join is gone."""
+    pool = spark.createDataFrame([(1, 1, "aka", 2, "normalised", "a", "tvSeries", None, None, 1)], "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int")
+    left = spark.createDataFrame([(1, 1, "season", None, *["a"] * 6)], "row_id int, season int, label string, ref_year int, " + ", ".join(f"{c} string" for c in resolve.KEYS))
+    assert sorted(r.stage for r in resolve.candidates(left, pool).collect()) == [3, 4]
