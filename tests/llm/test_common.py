@@ -1,6 +1,7 @@
 """Shared folder, temporary tables, filters by ids and what workers hold."""
 
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -45,6 +46,18 @@ def test_one_thing_is_held():
     assert made == ["a", "b", "a"]
 
 
+def test_what_is_held_goes_after_the_last_task(monkeypatch):
+    monkeypatch.setattr(common, "KEEP_S", 0.2)
+    with common.working():
+        common.held(("test", "x"), lambda: [1])
+        time.sleep(1)
+        assert common.held(("test", "x"), lambda: [2]) == [1]
+    with common.working():
+        assert common.held(("test", "x"), lambda: [3]) == [1]
+    time.sleep(1.5)
+    assert common.held(("test", "x"), lambda: [4]) == [4]
+
+
 def test_shuffle_files_go_only_within(spark):
     before = spark.conf.get(common.CLEANUP, "false")
     with common.cleaning(spark):
