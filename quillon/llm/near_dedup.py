@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import Scratch, map_batches, mix64, prepared, ragged, written
+from quillon.llm.common import Scratch, map_batches, mix64, only, prepared, ragged, written
 
 SHINGLE, ROWS, BANDS = 5, 4, 40
 BINS = ROWS * BANDS
@@ -132,15 +132,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.written(nodes.select("_id", F.col("_id").alias("_root")), "labels")
     while not edges.isEmpty():
         both = edges.select(F.col("_b").alias("_u"), F.col("_a").alias("_v")).union(edges.select("_a", "_b"))
-        parents = both.groupBy("_u").agg(F.min("_v").alias("_p")).select("_u", F.least("_u", "_p").alias("_p"))
-        up = parents.select(F.col("_u").alias("_p"), F.col("_p").alias("_q"))
-        parents = scratch.written(parents.join(up, "_p", "left").select("_u", F.coalesce("_q", "_p").alias("_p")), "parents")
+        least = scratch.written(both.groupBy("_u").agg(F.min("_v").alias("_p")).select("_u", F.least("_u", "_p").alias("_p")), "least")
+        up = least.select(F.col("_u").alias("_p"), F.col("_p").alias("_q"))  # a parent of many is then split in the join
+        parents = scratch.written(least.join(up, "_p", "left").select("_u", F.coalesce("_q", "_p").alias("_p")), "parents")
         a, b = parents.select(F.col("_u").alias("_a"), F.col("_p").alias("_x")), parents.select(F.col("_u").alias("_b"), F.col("_p").alias("_y"))
         moved = edges.join(a, "_a").join(b, "_b").filter("_x <> _y")
         fewer = scratch.written(moved.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct(), "edges")
         to = parents.select(F.col("_u").alias("_root"), F.col("_p").alias("_to"))
         higher = scratch.written(labels.join(to, "_root", "left").select("_id", F.coalesce("_to", "_root").alias("_root")), "labels")
-        scratch.drop(edges, labels, parents)
+        scratch.drop(edges, labels, parents, least)
         edges, labels = fewer, higher
     scratch.drop(edges)
     return labels
@@ -219,6 +219,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select(F.col("_x").alias("_a"), F.col("_c").alias("_b"))
 
 
+def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The confirmed pairs, as a written table; sets that no pair needs stay where they are."""
+    pairs = scratch.written(pairs, "pairs")
+    needed = scratch.written(pairs.select(F.col("_x").alias("_id")).union(pairs.select("_c")).distinct(), "needed")
+    links = scratch.written(confirmed(pairs, only(sets, needed, "_id")), "links")
+    scratch.drop(pairs, needed)
+    return links
+
+
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", most_rounds: int = 12) -> DataFrame:
     """_id, _n (distinct shingles), _root (least id reachable over links) of each row of docs.
 
@@ -246,12 +255,12 @@ def _groups(slim: DataFrame, scratch: Scratch, most_rounds: int) -> DataFrame:
     rows = scratch.written(counted.join(weight, "_id").select("_key", "_id", "_n", "_full"), "bucket-rows")
     made = scratch.written(sketches.select("_id", "_n"), "sizes")
     scratch.drop(sketches, first, full, counted)
-    wanted = rows.select("_id").distinct()
-    sets = scratch.written(map_batches(slim.filter("_id is not null").join(wanted, "_id", "left_semi"), _sketch, "_id bigint, _set array<bigint>", True), "sets")
+    wanted = scratch.written(rows.select("_id").distinct(), "wanted")
+    sets = scratch.written(map_batches(only(slim.filter("_id is not null"), wanted, "_id"), _sketch, "_id bigint, _set array<bigint>", True), "sets")
     found = None
     for round_ in range(most_rounds):
         labelled = scratch.written(_mixed(rows, found, round_), "mixed") if round_ else rows.withColumn("_label", F.col("_id"))
-        new = scratch.written(confirmed(_stars(labelled, round_), sets), "links")
+        new = _links(_stars(labelled, round_), sets, scratch)
         scratch.drop(labelled)
         if new.isEmpty():
             break
@@ -260,10 +269,10 @@ def _groups(slim: DataFrame, scratch: Scratch, most_rounds: int) -> DataFrame:
     if not apart.isEmpty():
         of = rows.select("_id").distinct()
         of = of.withColumn("_label", F.col("_id")) if found is None else of.join(found, "_id", "left").select("_id", F.coalesce("_root", "_id").alias("_label"))
-        new = scratch.written(confirmed(_closing(of.join(apart, "_label", "left_semi"), sets, scratch), sets), "links")
+        new = _links(_closing(of.join(apart, "_label", "left_semi"), sets, scratch), sets, scratch)
         if not new.isEmpty():
             found = _joined(found, new, scratch)
-    scratch.drop(rows, sets)
+    scratch.drop(rows, sets, wanted)
     # classes of one document meet at its id, and components at their least member
     ties = members.groupBy("_id").agg(F.min("_rep").alias("_a"), F.max("_rep").alias("_b")).filter("_a < _b").select("_a", "_b")
     ties = scratch.written(ties, "ties")
@@ -281,13 +290,12 @@ def _groups(slim: DataFrame, scratch: Scratch, most_rounds: int) -> DataFrame:
 def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that are the smallest id of their group; rows without an id stay, and of equal ids one row does."""
     groups = near_groups(docs, doc_id=doc_id, text=text)
-    gone = groups.filter("_id is not null and _root < _id").select(F.col("_id").alias("__q_gone")).distinct()
-    rows = docs.join(gone, F.col(doc_id).cast("long") == F.col("__q_gone"), "left_anti")
-    twice = written(groups.filter("_id is not null and _root = _id").groupBy("_id").count().filter("count > 1").select(F.col("_id").alias("__q_twice")), "repeated-ids")
+    gone = written(groups.filter("_id is not null and _root < _id").select("_id").distinct(), "gone")
+    rows = only(docs, gone, doc_id, but=True)
+    twice = written(groups.filter("_id is not null and _root = _id").groupBy("_id").count().filter("count > 1").select("_id"), "repeated-ids")
     if twice.isEmpty():
         return rows
-    many = rows.join(twice, F.col(doc_id).cast("long") == F.col("__q_twice"), "left_semi").dropDuplicates([doc_id])
-    return rows.join(twice, F.col(doc_id).cast("long") == F.col("__q_twice"), "left_anti").unionByName(many)
+    return only(rows, twice, doc_id, but=True).unionByName(only(rows, twice, doc_id).dropDuplicates([doc_id]))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
