@@ -342,14 +342,16 @@ def scored(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str
 
 def _broadcast(held: DataFrame, buckets: int) -> tuple:
     """The whole filter and the exact counts, ascending by word, on every executor; they pass the driver as Arrow buffers."""
-    spark = held.sparkSession
-    table = held.select("bucket", "bits").toArrow()
-    model = spark.sparkContext.broadcast(Filter({b: x.as_buffer() for b, x in zip(table["bucket"].to_pylist(), table["bits"])}, buckets))
+    context = held.sparkSession.sparkContext
     table = held.select("bucket", "keys", "counts").toArrow().sort_by("bucket")
-    columns = [np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in table[c])]) for c, t in (("keys", np.uint64), ("counts", np.uint32))]
+    words = context.broadcast([np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in table[c])]) for c, t in (("keys", np.uint64), ("counts", np.uint32))])
+    del table
+    trim()
+    table = held.select("bucket", "bits").toArrow()
+    model = Filter({b: x.as_buffer() for b, x in zip(table["bucket"].to_pylist(), table["bits"])}, buckets)
     del table
     trim()
-    return model, spark.sparkContext.broadcast(columns)
+    return context.broadcast(model), words
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
