@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import re
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -159,11 +162,11 @@ def map_batches(df: DataFrame, f: Callable[..., dict], schema: str, *args) -> Da
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = f({n: batch.column(i) for i, n in enumerate(batch.schema.names)}, *args)
-                yield pa.RecordBatch.from_arrays([_array(columns[x.name], x.type) for x in kind], schema=kind)
-        trim()
+        with working():
+            for batch in batches:
+                if batch.num_rows:
+                    columns = f({n: batch.column(i) for i, n in enumerate(batch.schema.names)}, *args)
+                    yield pa.RecordBatch.from_arrays([_array(columns[x.name], x.type) for x in kind], schema=kind)
 
     return df.mapInArrow(run, schema)
 
@@ -184,6 +187,12 @@ def trim() -> None:
 
 
 _HELD: dict = {}
+#: Seconds that a worker without a task keeps what it holds: Spark keeps idle workers for a minute, and often more than it has cores.
+KEEP_S = 2.0
+
+
+class _State:
+    tasks, since, watched = 0, 0.0, 0
 
 
 def held(key: tuple, make: Callable[[], object]):
@@ -195,6 +204,28 @@ def held(key: tuple, make: Callable[[], object]):
     return _HELD[key]
 
 
+@contextmanager
+def working() -> Iterator[None]:
+    """A task's run: afterwards freed memory goes back, and what is held too if no task follows soon."""
+    _State.tasks += 1
+    try:
+        yield
+    finally:
+        _State.tasks, _State.since = _State.tasks - 1, time.monotonic()
+        trim()
+        if _HELD and _State.watched != os.getpid():
+            _State.watched = os.getpid()
+            threading.Thread(target=_let_go, daemon=True).start()
+
+
+def _let_go() -> None:
+    while _State.tasks or time.monotonic() - _State.since < KEEP_S:
+        time.sleep(0.5)
+    _HELD.clear()
+    _State.watched = 0
+    trim()
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)

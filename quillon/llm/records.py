@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import scan
-from quillon.llm.common import cleaning, planned_bytes, prepared, ragged, shared_path
+from quillon.llm.common import cleaning, held, planned_bytes, prepared, ragged, shared_path, working
 from quillon.llm.token_count import byte_characters
 
 END_ID = 1
@@ -165,7 +165,7 @@ class Encoder:
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -240,9 +240,8 @@ class Encoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("records", path), lambda: Encoder(path))
 
 
 # --- files -------------------------------------------------------------------------------------------------------------------
@@ -316,30 +315,35 @@ class _Shard:
 
 def _writer(uri: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (fs, root) = encoder(tokenizer), filesystem(uri)
-        shard, number, done = None, -1, []
+        with working():
+            done = list(_written(batches, *filesystem(uri), encoder(tokenizer)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), (pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["shard", "n_docs", "n_ids", "id_bytes"])
 
-        def close() -> None:
-            shard.close()
-            done.append((number, shard.n_docs, shard.start))
+    return run
 
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []
-            for a, b in zip(cuts, cuts[1:]):
-                if shard is None or numbers[a] != number:
-                    if shard is not None:
-                        close()
-                    number = int(numbers[a])
-                    shard = _Shard(fs, f"{root}/shard-{number:05d}")
-                part = batch.slice(a, b - a)
-                shard.add(part.column(1), *enc.encode(part.column(2)), enc.wide)
-        if shard is not None:
-            close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), (pa.int32(), pa.int64(), pa.int64()))], ["shard", "n_docs", "n_ids"])
 
-    return run
+def _written(batches: Iterator[pa.RecordBatch], fs: pafs.FileSystem, root: str, enc: Encoder) -> Iterator[tuple]:
+    """(number, documents, ids, bytes of an id) of each shard that was written from batches in order of shards."""
+    shard, number = None, -1
+
+    def closed() -> tuple:
+        shard.close()
+        return number, shard.n_docs, shard.start, 4 if enc.wide else 2
+
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []
+        for a, b in zip(cuts, cuts[1:]):
+            if shard is None or numbers[a] != number:
+                if shard is not None:
+                    yield closed()
+                number = int(numbers[a])
+                shard = _Shard(fs, f"{root}/shard-{number:05d}")
+            part = batch.slice(a, b - a)
+            shard.add(part.column(1), *enc.encode(part.column(2)), enc.wide)
+    if shard is not None:
+        yield closed()
 
 
 def _reader(uri: str, wide: bool):
@@ -409,12 +413,12 @@ def write_records(docs: DataFrame, tokenizer: str, uri: str, *, doc_id: str = "d
     fs.create_dir(root)
     dealt = ranged.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_id", "_hash", "_text")
     with cleaning(docs.sparkSession):
-        done = dealt.select("_shard", "_id", "_text").mapInArrow(_writer(uri, tokenizer), "shard int, n_docs bigint, n_ids bigint").collect()
+        done = dealt.select("_shard", "_id", "_text").mapInArrow(_writer(uri, tokenizer), "shard int, n_docs bigint, n_ids bigint, id_bytes int").collect()
     before, listed = 0, []
     for r in sorted(done, key=lambda r: r.shard):
         listed.append({"shard": r.shard, "n_docs": r.n_docs, "n_ids": r.n_ids, "start": before})
         before += r.n_ids
-    manifest = {"version": 1, "id_bytes": 4 if encoder(tokenizer).wide else 2, "end_id": END_ID, "shards": listed}
+    manifest = {"version": 1, "id_bytes": max((r.id_bytes for r in done), default=2), "end_id": END_ID, "shards": listed}
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
     return manifest

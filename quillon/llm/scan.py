@@ -15,7 +15,7 @@ import pyarrow as pa
 from quillon.llm.common import mix64, ragged
 
 #: Bytes of texts that are worked on at once; one longer text is worked on by itself.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: Texts of a block at most: keys of a block hold a text's number in 8 bits.
 BLOCK_TEXTS = 256
 

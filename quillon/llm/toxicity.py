@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import sampling, scan
-from quillon.llm.common import Scratch, held, map_batches, mix64, prepared, ragged, share, trim
+from quillon.llm.common import Scratch, held, map_batches, mix64, prepared, ragged, share, trim, working
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5, 6, 7, 8)
 #: Words that are averaged: a text is as toxic as its most toxic window, so a lone passage in a long text isn't diluted.
@@ -266,10 +266,10 @@ def scored(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 def _below(limit: float, model: Model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_held(model).scores(batch.column(text)) < limit))
-        trim()
+        with working():
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(_held(model).scores(batch.column(text)) < limit))
 
     return run
 
