@@ -176,6 +176,33 @@ def test_fuzzy_stage_takes_rows_without_exact_candidates(spark):
     assert got[3].note == resolve.MEANINGS["unmatched_not_series_like"]
 
 
+def test_answers_equal_ranked_candidates(spark):
+    """Groups of the pool decide as the candidates themselves do, with and without seasons, and with several sources of a parent."""
+    rng = random.Random(11)
+    about = [(p, rng.randint(1, 2), rng.choice(["tvSeries", "tvMiniSeries", "movie", None]), rng.choice([None, 2000, 2001, 2005]), rng.choice([None, 2003]), rng.choice([None, -1, 0, 5])) for p in range(90)]
+    pool = [(p, season, source, {"primary": 0, "original": 1, "aka": 2}[source], kind, rng.choice("abcdefghijklmnopqrstuvwxyz"), *rest) for p, season, *rest in about for source in rng.sample(["primary", "original", "aka"], rng.randint(1, 3)) for kind in ("normalised", "canonical", "compact")]
+    p_df = spark.createDataFrame(pool, "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int")
+    left = [(i, rng.choice([1, 2, None]), rng.choice(["season", "limited_series", None]), rng.choice([None, 2000, 2002, 2010]), *[rng.choice([*"abcdefghijkl", "", None]) for _ in resolve.KEYS]) for i in range(400)]
+    l_df = spark.createDataFrame(left, "row_id int, season int, label string, ref_year int, " + ", ".join(f"{c} string" for c in resolve.KEYS))
+    columns = ["row_id", "stage", "best_parent", "best_source", "n", "method", "resolved", "confidence", "similarity", "consistent", "distance"]
+    methods = set()
+    for stages, with_season in ((resolve.STAGES, True), (resolve.SINGLE, False)):
+        want = resolve.decisions(resolve.ranked(resolve.candidates(l_df, p_df, stages, with_season))).select(*columns).collect()
+        got = resolve.exact_answers(l_df, p_df, stages, with_season).select(*columns).collect()
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        methods |= {r.method for r in want}
+    assert len(methods) >= 7
+
+
+def test_copies_are_not_expanded(spark):
+    """A title of 40,000 rows and as many parents: 1.6 billion candidates of each stage, which no longer come one by one."""
+    copies = spark.range(40000)
+    left = copies.selectExpr("id as row_id", "'series' as format", "1 as season", "'season' as label", "2000 as ref_year", *[f"'the same title' as {c}" for c in resolve.KEYS])
+    pool = copies.selectExpr("id as parent", "1 as season", "'primary' as source", "0 as priority", "explode(array('normalised', 'canonical', 'compact')) as kind", "'the same title' as key", "'tvSeries' as title_type", "2000 as start_year", "cast(null as int) as end_year", "cast(if(id = 777, 9, id % 7) as int) as votes", "1 as n_seasons")
+    got = resolve.matches(left, pool)[0].groupBy("stage", "parent", "method", "n_candidates").count().collect()
+    assert [tuple(r) for r in got] == [(1, 777, "higher_num_votes", 40000, 40000)]
+
+
 def test_overrides(spark):
     master = spark.createDataFrame([(1, "a", 1, 0, None, None, "m", 0.0, None), (2, "a", 2, 1, 7, 2, "m", 0.9, None), (3, "b", None, 0, None, None, "m", 0.0, None), (4, "a", 1, 0, None, None, "m", 0.0, None)], "row_id int, title string, row_season int, matched int, parent int, season int, method string, confidence double, note string")
     seasons = spark.createDataFrame([(9, 1), (9, 2), (8, 1)], "parent int, season int")
