@@ -226,6 +226,15 @@ def test_passes_of_several_grains_run_in_turn(spark):
     assert {r.row_id: (r.entity_type, r.parent) for r in resolve.multi_grain(left, passes).collect()} == {1: ("movie", 1), 2: ("series_season", 2), 3: ("series_parent", 2)}
 
 
+def test_grains_do_not_expand_copies(spark):
+    copies = spark.range(40000)
+    left = copies.selectExpr("id as row_id", "'movie' as format", "cast(null as int) as season", "'season' as label", "2000 as ref_year", "'the same title' as normalised")
+    pool = copies.selectExpr("id as parent", "1 as season", "'primary' as source", "0 as priority", "'normalised' as kind", "'the same title' as key", "'movie' as title_type", "2000 as start_year", "cast(null as int) as end_year", "cast(if(id = 777, 9, id % 7) as int) as votes")
+    passes = [(name, pool, [(1, "normalised", "normalised", None, 0.99)], False, "format = 'movie'") for name in ("movie", "other")]
+    got = resolve.multi_grain(left, passes).groupBy("entity_type", "parent", "method").count().collect()
+    assert [tuple(r) for r in got] == [("movie", 777, "higher_num_votes", 40000)]
+
+
 def test_half_years(spark):
     views = spark.createDataFrame([("Dark", "1,000", None), ("Dark", "5", "6"), ("Élite", None, "20"), (None, "1", "1")], "`Title` string, `2023 H1 Views` string, `2023 H2 Views` string")
     hours = spark.createDataFrame([("DARK", "3,000", "1"), ("Elite", "7", "40"), ("Only", "1", "1")], "`Title` string, `2023 H1 Hours` string, `2023 H2 Hours` string")
