@@ -218,6 +218,22 @@ def test_before_after_of_nothing(spark):
     assert got["series_match_rate"] == 0.0 and got["baseline_matched_rows"] == 3 and got["baseline_series_match_rate"] is None and got["newly_matched_from_old_unmatched"] == -3
 
 
+def test_baseline_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for x in parts:
+            seen.add(len(x))
+            yield x
+
+    rows = spark.createDataFrame([(1, "series", 1), (0, "series", 2), (1, "movie", None)], "matched int, format string, season int")
+    master = rows.selectExpr("*", "'x' as parse_method", "'aka' as source", "1 as stage", "'single_candidate' as method")
+    got = {r.metric: r.value for r in resolve.before_after(master, rows.mapInPandas(counted, rows.schema)).collect()}
+    assert seen.value == 3 and (got["baseline_matched_rows"], got["baseline_series_match_rate"]) == (2, 0.5)
+    none = {r.metric: r.value for r in resolve.before_after(master, rows.limit(0)).collect()}
+    assert none["baseline_matched_rows"] is None and none["baseline_series_match_rate"] is None
+
+
 def test_passes_of_several_grains_run_in_turn(spark):
     pool = spark.createDataFrame([(1, 1, "primary", 0, "normalised", "a", "movie", None, None, None), (2, 1, "primary", 0, "normalised", "a", "tvSeries", None, None, None)], "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int")
     left = spark.createDataFrame([(1, "movie", None, "a"), (2, "series", 1, "a"), (3, "series", 4, "a"), (4, "series", 1, "b")], "row_id int, format string, season int, normalised string").selectExpr("*", "'season' as label", "cast(null as int) as ref_year")
