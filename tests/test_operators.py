@@ -203,6 +203,24 @@ def test_copies_are_not_expanded(spark):
     assert [tuple(r) for r in got] == [(1, 777, "higher_num_votes", 40000, 40000)]
 
 
+def test_reviewed_equals_review(spark):
+    """The candidates beside a key are those that a join of rows and candidates gives, and matched rows come without the plan of the fuzzy stage."""
+    rng = random.Random(7)
+    about = [(p, rng.randint(1, 2), rng.choice(["tvSeries", "tvMiniSeries"]), rng.choice([None, 2000, 2005]), rng.choice([None, 2003]), rng.choice([None, 0, 5])) for p in range(60)]
+    pool = [(p, season, source, {"primary": 0, "aka": 2}[source], kind, f"some longer title {key}", *rest, 1) for p, season, *rest in about for key in (rng.choice("abcdefgh"),) for source in ("primary", "aka") for kind in ("normalised", "canonical")]
+    p_df = spark.createDataFrame(pool, "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int, n_seasons int")
+    left = [(i, "series", f"t{i}", rng.choice([1, 2, 2, None]), "season", rng.choice([None, 1990, 2002]), *[f"some longer title {rng.choice('abcdefgh')}" for _ in resolve.KEYS]) for i in range(80)]
+    l_df = spark.createDataFrame(left, "row_id int, format string, title string, season int, label string, ref_year int, " + ", ".join(f"{c} string" for c in resolve.KEYS))
+    master, fuzzy = resolve.matches(l_df, p_df)
+    assert "levenshtein" not in master._jdf.queryExecution().optimizedPlan().toString()
+    alone = resolve.candidates(l_df.filter("season is null"), resolve.single_seasons(p_df), resolve.SINGLE, with_season=False)
+    every = resolve.ranked(resolve.candidates(l_df, p_df).unionByName(alone))
+    columns = ["row_id", "stage", "candidate_rank", "parent", "season", "source", "n", "similarity", "consistent", "distance", "votes", "left_title", "review_method"]
+    want = resolve.review(every, master, l_df, ["title"]).select(*columns).collect()
+    got = resolve.reviewed(l_df, p_df, master, fuzzy, ["title"]).select(*columns).collect()
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r.stage for r in want} >= {1, 11}
+
+
 def test_overrides(spark):
     master = spark.createDataFrame([(1, "a", 1, 0, None, None, "m", 0.0, None), (2, "a", 2, 1, 7, 2, "m", 0.9, None), (3, "b", None, 0, None, None, "m", 0.0, None), (4, "a", 1, 0, None, None, "m", 0.0, None)], "row_id int, title string, row_season int, matched int, parent int, season int, method string, confidence double, note string")
     seasons = spark.createDataFrame([(9, 1), (9, 2), (8, 1)], "parent int, season int")
