@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators import aggregates, features, joins, models, panel, profile, resolve
+from quillon.operators import aggregates, features, joins, models, numbered, panel, profile, resolve
 
 
 def test_null_keys_meet(spark):
@@ -161,6 +161,59 @@ def test_close_pairs_lose_none(spark):
     assert got == want and any(a != b for a, b in want)
 
 
+def naive_edits(a, b, exchange=1):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + exchange * (x != y))
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data(), st.booleans(), st.sampled_from([0.05, 0.1, 0.15, 0.2]), st.sampled_from([("item ", "item "), ("", ""), ("é no", "é noo")]))
+def test_digits_lose_no_pair(data, substitutes, share, shapes):
+    """Numbers at the end or inside of the same text, equal ones at other places and none at all, against every pair."""
+    sides = []
+    for shape in shapes:
+        rows = data.draw(st.lists(st.tuples(st.text("0123", max_size=6), st.integers(0, len(shape))), min_size=1, max_size=25))
+        sides.append(sorted({shape[:k] + d + shape[k:] for d, k in rows if shape or d} or {shape + "1"}))
+    a, b = sides
+    digits = [["".join(c for c in t if c.isdigit()) for t in side] for side in sides]
+    used = 0 if substitutes else naive_edits(*shapes, 2)
+    got = {(i, j): d for i, j, d in zip(*[x.tolist() for x in numbered.close(a, b, *digits, share, substitutes, used)])}
+    every = {(i, j): naive_edits(x, y, 1 if substitutes else 2) for i, x in enumerate(a) for j, y in enumerate(b)}
+    assert got == {(i, j): d for (i, j), d in every.items() if d <= int(share * (len(a[i]) + len(b[j])))}
+
+
+def shuffled_rows(spark, df):
+    """(rows of df, rows that its stages write for others)."""
+    spark.sparkContext.setJobGroup(group := f"counted {random.random()}", "")
+    rows = df.collect()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {k for job in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(job).stageIds}
+    return rows, sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+
+
+def test_numbers_meet_without_trigrams(spark):
+    """3,000 keys that share `item ` and the trigrams of their numbers: of their 9 million pairs few are close, and few are shuffled. A block of other texts goes by trigrams."""
+    rng = random.Random(5)
+    numbers = rng.sample(range(1, 900000), 3000)
+    words = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(20)]
+    words += [w[:30] + "x" + w[31:] for w in words]
+    a = [("n", f"item {k}") for k in numbers] + [("w", w) for w in words]
+    b = [("n", f"item {10 * (k // 10)}") for k in numbers[:2000]] + [("w", w) for w in words] + [(None, "item 1")]
+    probes = spark.createDataFrame([(i, *r) for i, r in enumerate([*a, (None, "item 1")])], "a_id int, block string, key string")
+    rows, moved = shuffled_rows(spark, resolve.close_pairs(probes, spark.createDataFrame(b, "block string, other string").distinct(), "block", 0.1))
+    got = {(r.block, r.key, r.other): r.edits for r in rows}
+    pool = sorted({t for k, t in b if k == "n"})
+    for key in [t for _, t in a[:60]]:
+        near = {t: d for t in pool for d in (naive_edits(key, t),) if d <= int(0.1 * (len(key) + len(t)))}
+        assert {o: d for (_, k, o), d in got.items() if k == key} == near
+    assert {(k, o) for n, k, o in got if n == "w"} == {(x, y) for x in words for y in words if naive_edits(x, y) <= 14}
+    assert moved < 100_000
+
+
 def test_fuzzy_stage_takes_rows_without_exact_candidates(spark):
     """The winner's rows are ranked like other candidates; a row with an unresolved exact stage gets no fuzzy one."""
     title = "the quick brown fox jumps over the lazy dog"
