@@ -214,6 +214,24 @@ def test_numbers_meet_without_trigrams(spark):
     assert moved < 100_000
 
 
+def test_names_with_numbers_keep_their_best_two(spark, monkeypatch):
+    """Names that differ in their numbers and last word: winners, scores and seconds of all pairs, also where a shape is dealt out to chunks."""
+    monkeypatch.setattr(resolve, "CHUNK", 150)
+    rng = random.Random(9)
+    names = sorted({f"customer of the export number {rng.randint(1, 9999)} {rng.choice(['building', 'machinery'])}" for _ in range(700)})
+    keys = spark.createDataFrame([(n, 1) for n in names], "key string, season int")
+    asked = [n.replace("export", "exxport") for n in names] + names[:40] + ["nothing like it", "12345"]
+    left = spark.createDataFrame([(i, 1, n) for i, n in enumerate(asked)], "row_id int, season int, key string")
+    rows, moved = shuffled_rows(spark, resolve.fuzzy_winners(left, keys, "season"))
+    want = {}
+    for i, n in enumerate(asked):
+        (s, k), (s2, _) = sorted(((-resolve.indel_ratio(n, k), k) for k in names))[:2]
+        if -s >= 97 and s2 - s >= 2:
+            want[i] = (k, round(-s, 9), round(-s2 if -s2 >= 95 else 0, 9))
+    assert {r.row_id: (r.match_key, round(r.score, 9), round(r.second, 9)) for r in rows} == want and len(want) > 20
+    assert moved < 50_000
+
+
 def test_fuzzy_stage_takes_rows_without_exact_candidates(spark):
     """The winner's rows are ranked like other candidates; a row with an unresolved exact stage gets no fuzzy one."""
     title = "the quick brown fox jumps over the lazy dog"
