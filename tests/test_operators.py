@@ -232,6 +232,13 @@ def test_names_with_numbers_keep_their_best_two(spark, monkeypatch):
     assert moved < 50_000
 
 
+def test_fuzzy_plan_reads_its_rows_once(spark):
+    """What the fuzzy stage compares is kept apart from the plan, which would else repeat the rows' own for every step."""
+    left = spark.range(3).selectExpr("id as row_id", "1 as season", "concat('some title ', id) as key")
+    plan = resolve.fuzzy_winners(left, left.select("key", "season"), "season")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
 def test_fuzzy_stage_takes_rows_without_exact_candidates(spark):
     """The winner's rows are ranked like other candidates; a row with an unresolved exact stage gets no fuzzy one."""
     title = "the quick brown fox jumps over the lazy dog"
