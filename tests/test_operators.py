@@ -527,3 +527,34 @@ def test_stages_of_one_source_meet_that_source_only(spark):
     pool = spark.createDataFrame([(1, 1, "aka", 2, "normalised", "a", "tvSeries", None, None, 1)], "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int")
     left = spark.createDataFrame([(1, 1, "season", None, *["a"] * 6)], "row_id int, season int, label string, ref_year int, " + ", ".join(f"{c} string" for c in resolve.KEYS))
     assert sorted(r.stage for r in resolve.candidates(left, pool).collect()) == [3, 4]
+
+
+_POOL = "parent int, season int, source string, priority int, kind string, key string, title_type string, start_year int, end_year int, votes int, n_seasons int"
+
+
+def test_few_keys_are_broadcast_and_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    pool = spark.createDataFrame([(p, rng.randint(1, 2), s, {"primary": 0, "aka": 2}[s], "normalised", rng.choice("abc") if p else " ", "tvSeries", rng.choice([None, 2000, 2005]), None, rng.choice([None, 5]), 1) for p in range(40) for s in ("primary", "aka")], _POOL)
+    left = spark.createDataFrame([(i, rng.choice([1, 2, None]), "season", rng.choice([None, 2000]), rng.choice(["a", "b", "x", f"zz{i}", None, " "]), rng.choice(["c", "yy"])) for i in range(200)], "row_id int, season int, label string, ref_year int, normalised string, raw_normalised string")
+    known = resolve.few_keys(pool)
+    assert sorted(r.key for r in known.collect()) == ["a", "b", "c"]
+    for with_season in (True, False):
+        asked = resolve.probes(left.filter("season is not null") if with_season else left, resolve.STAGES[:4])
+        want = resolve.answered(asked, pool, with_season)
+        got = resolve.answered(asked, pool, with_season, known)
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect())) and want.count() > 100
+    monkeypatch.setattr(resolve, "FEW_KEYS", 2)
+    assert resolve.few_keys(pool) is None
+
+
+def test_keys_are_dealt_by_parent_once(spark):
+    """The distinct keys, their join with the seasons and the choice of the best source need no other exchange of the keys."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = resolve.title_keys(spark.range(9).selectExpr("id", "concat('t', id % 3) as primary"), "id", {"primary": "primary"}, {"normalised": F.lower})
+        seasons = spark.range(9).selectExpr("id as parent", "1 as season", "'tvSeries' as title_type", "2000 as start_year", "cast(null as int) as end_year", "1 as votes")
+        plan = resolve._once_each(resolve.candidate_pool(seasons, keys))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 2
