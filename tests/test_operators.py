@@ -558,3 +558,23 @@ def test_keys_are_dealt_by_parent_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_review_ranks_once_for_rows_that_ask_alike(spark):
+    """Rows and their titles come to the candidates before these are listed: nothing of a row is shuffled beside its key's list."""
+    copies = [(p, 1, "primary", 0, "normalised", "a", "tvSeries", 2000, None, 5, 1) for p in range(30)] + [(p, 1, "primary", 0, "normalised", "b", "tvSeries", 2000, None, p, 1) for p in range(3)]
+    pool = spark.createDataFrame(copies, _POOL)
+    left = spark.createDataFrame([(i, "series", 1 if i % 2 else None, "season", 2000, f"T{i}", "b" if i == 49 else "a") for i in range(50)], "row_id int, format string, season int, label string, ref_year int, title string, normalised string")
+    left = left.withColumns({k: F.lit(None).cast("string") for k in resolve.KEYS if k != "normalised"})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        resolved, fuzzy = resolve.matches(left, pool, keys=pool)
+        found = resolve.reviewed(left, pool, resolved, fuzzy, ["title"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange hashpartitioning(row_id" not in plan
+    assert sorted((r.row_id, r.candidate_rank, r.parent) for r in rows) == [(i, p + 1, p) for i in range(49) for p in range(30)]
+    assert {(r.n, r.review_method, r.left_title == f"T{r.row_id}", r.stage == (1 if r.row_id % 2 else 11)) for r in rows} == {(30, "unmatched_ambiguous", True, True)}
