@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
 from quillon.operators import aggregates, features, joins, models, numbered, panel, profile, resolve
+from quillon.plans import resolve_queries
+from quillon.plans.registry import Tables
 
 
 def test_null_keys_meet(spark):
@@ -578,3 +580,46 @@ def test_review_ranks_once_for_rows_that_ask_alike(spark):
     assert "Exchange hashpartitioning(row_id" not in plan
     assert sorted((r.row_id, r.candidate_rank, r.parent) for r in rows) == [(i, p + 1, p) for i in range(49) for p in range(30)]
     assert {(r.n, r.review_method, r.left_title == f"T{r.row_id}", r.stage == (1 if r.row_id % 2 else 11)) for r in rows} == {(30, "unmatched_ambiguous", True, True)}
+
+
+def test_rows_and_parents_that_are_alike_change_nothing(spark, monkeypatch):
+    """Against every row and parent on its own: rows without an id, a parent's equal rows, keys of another season, keys near the pool's."""
+    rng, kinds = random.Random(5), {"normalised": F.lower, "canonical": F.lower, "compact": lambda c: F.regexp_replace(F.lower(c), " ", "")}
+    names = [f"a long enough title of the series {x}" for x in ("ax", "by", "cz")]
+    parents = [(p, rng.choice(names), rng.choice(["primary", "aka"]), rng.choice([[1], [2], [1, 2]]), rng.choice([1, 2]), rng.choice(["tvSeries", "tvMiniSeries"]), rng.choice([None, 2000]), rng.choice([None, 5])) for p in range(60)]
+    parents += parents[:5] + [(3, parents[3][1].upper(), "primary" if parents[3][2] == "aka" else "aka", *parents[3][3:]), (None, names[1], "aka", [1], 1, "tvSeries", 2000, 5), (70, "a long enough title of a single season", "aka", [2], 1, "tvSeries", 2000, 5)]
+    parents = spark.createDataFrame(parents, "parent int, title string, source string, seasons array<int>, n_seasons int, title_type string, start_year int, votes int").withColumn("end_year", F.lit(None).cast("int"))
+    near = [n.replace("title", "titlle") for n in names] + ["a long enough title of a single season", "a long enough titlle of a single season"]
+    left = [(i, rng.choice(["series"] * 6 + ["movie", None]), rng.choice([1, 2, None]), rng.choice(["season", "limited_series"]), rng.choice([None, 2000]), *[rng.choice([*names, *near, f"zz{i}", None, " "]) for _ in range(6)]) for i in range(400)]
+    left = spark.createDataFrame([*left, (None, "series", 1, "season", 2000, *[names[0]] * 6)], "row_id int, format string, season int, label string, ref_year int, " + ", ".join(f"{k} string" for k in resolve.KEYS))
+    left = left.withColumns({k: F.regexp_replace(k, " ", "") for k in resolve.KEYS if "compact" in k})
+    seasons = parents.select("*", F.explode("seasons").alias("season")).drop("title", "source", "seasons").dropDuplicates()
+    keys = resolve.title_keys(parents.select("parent", *[F.when(F.col("source") == s, F.col("title")).alias(s) for s in ("primary", "aka")]), "parent", {"primary": "primary", "aka": "aka"}, kinds)
+    each = resolve.matches(left, resolve.candidate_pool(seasons, keys))[0]
+    grouped = resolve.alike_parents(parents)
+    assert grouped.agg(F.sum("copies")).first()[0] == parents.count() - 1 > grouped.count()
+    want = each.groupBy("method").agg(F.count("*"), F.min("row_id"), F.min_by("parent", F.when(F.col("parent").isNotNull(), F.col("row_id")))).collect()
+    assert each.filter("stage = 9").count() > 5 and each.filter("matched = 1").count() > 5 and len(want) > 5
+    pool = resolve.titled_pool(grouped, kinds)
+    assert resolve.alike(left, resolve.few_keys(pool)).agg(F.sum("row_id.n")).first()[0] == 401
+    for few in (resolve.FEW_KEYS, 0):
+        monkeypatch.setattr(resolve, "FEW_KEYS", few)
+        assert sorted(map(tuple, resolve.method_samples(left, pool, pool).collect())) == sorted(map(tuple, want))
+
+
+def test_samples_of_copies_shuffle_few_rows(spark, tmp_path):
+    """Copies of parts ask alike and are alike: but for the count of their keys they aren't shuffled."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    rows = part.crossJoin(spark.range(40).withColumnRenamed("id", "_i")).withColumn("p_partkey", F.col("p_partkey") + 360_360 * F.col("_i")).drop("_i")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled() -> dict:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    found = resolve_queries.method_samples(Tables(spark, str(tmp_path))).collect()
+    written = sum(n for k, n in shuffled().items() if k not in before)
+    assert sum(r.n for r in found) == 40 * part.count() and written < 5 * 40 * part.count()
