@@ -1,6 +1,7 @@
 """Joins, panels, resolution and profiles on fixtures, with naive models where order and ties matter."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -623,3 +624,23 @@ def test_samples_of_copies_shuffle_few_rows(spark, tmp_path):
     found = resolve_queries.method_samples(Tables(spark, str(tmp_path))).collect()
     written = sum(n for k, n in shuffled().items() if k not in before)
     assert sum(r.n for r in found) == 40 * part.count() and written < 5 * 40 * part.count()
+
+
+def _ran(spark, run) -> tuple[int, set]:
+    """(exchanges and broadcasts of the largest plan, copies of the rows that are kept) of what `run` does."""
+    store, jsc = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc
+    jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    first, old = store.executionsCount(), set(jsc.getPersistentRDDs())
+    run()
+    jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = store.executionsList()
+    found = [plans.apply(i).physicalPlanDescription() for i in range(first, plans.size())]
+    held = jsc.getPersistentRDDs()
+    return max(len(re.findall(r"^\(\d+\) (?:Broadcast)?Exchange", x, re.M)) for x in found), {held[k].getStorageLevel().replication() for k in set(held) - old}
+
+
+@pytest.mark.parametrize(("name", "most"), [("exact_cascade", 40)])
+def test_cascade_runs_in_short_plans(spark, name, most):
+    """The driver writes down and plans the whole plan after each of its stages; what is kept has two copies."""
+    exchanges, copies = _ran(spark, lambda: getattr(resolve_queries, name)(Tables(spark, "/root/testdata/sf0.001")).write.format("noop").mode("overwrite").save())
+    assert exchanges <= most and copies == {2}, (exchanges, copies)
