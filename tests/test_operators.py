@@ -639,8 +639,18 @@ def _ran(spark, run) -> tuple[int, set]:
     return max(len(re.findall(r"^\(\d+\) (?:Broadcast)?Exchange", x, re.M)) for x in found), {held[k].getStorageLevel().replication() for k in set(held) - old}
 
 
-@pytest.mark.parametrize(("name", "most"), [("exact_cascade", 40), ("multi_grain", 20)])
+@pytest.mark.parametrize(("name", "most"), [("exact_cascade", 40), ("multi_grain", 20), ("manual_overrides", 30)])
 def test_cascade_runs_in_short_plans(spark, name, most):
     """The driver writes down and plans the whole plan after each of its stages; what is kept has two copies."""
     exchanges, copies = _ran(spark, lambda: getattr(resolve_queries, name)(Tables(spark, "/root/testdata/sf0.001")).write.format("noop").mode("overwrite").save())
     assert exchanges <= most and copies == {2}, (exchanges, copies)
+
+
+def test_named_rows_are_found_without_the_master(spark):
+    """Overrides name their rows in `rows`; the plan has the master once, and neither the targets nor the overrides."""
+    master = spark.range(3).selectExpr("id as row_id", "0 as matched", "cast(null as int) as parent", "cast(null as int) as season", "'m' as method", "0.0D as confidence", "cast(null as string) as note")
+    rows = spark.range(3).selectExpr("id as row_id", "concat('t', id) as title", "1 as row_season")
+    rules = spark.createDataFrame([(1, None, "t1", 1, 9, "by title"), (2, 2, None, None, 9, None), (3, 0, None, None, 8, "no such target")], "ordinal int, row_id long, title string, row_season int, to_parent int, reason string")
+    out = resolve.apply_overrides(master, spark.createDataFrame([(9, 1)], "parent int, season int"), rules, rows)
+    assert sorted((r.row_id, r.parent, r.note, r.overridden) for r in out.collect()) == [(0, None, None, 0), (1, 9, "by title", 1), (2, 9, "decided by hand", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
