@@ -639,7 +639,7 @@ def _ran(spark, run) -> tuple[int, set]:
     return max(len(re.findall(r"^\(\d+\) (?:Broadcast)?Exchange", x, re.M)) for x in found), {held[k].getStorageLevel().replication() for k in set(held) - old}
 
 
-@pytest.mark.parametrize(("name", "most"), [("exact_cascade", 40), ("multi_grain", 20), ("manual_overrides", 30)])
+@pytest.mark.parametrize(("name", "most"), [("exact_cascade", 40), ("multi_grain", 20), ("manual_overrides", 30), ("before_after_summary", 30)])
 def test_cascade_runs_in_short_plans(spark, name, most):
     """The driver writes down and plans the whole plan after each of its stages; what is kept has two copies."""
     exchanges, copies = _ran(spark, lambda: getattr(resolve_queries, name)(Tables(spark, "/root/testdata/sf0.001")).write.format("noop").mode("overwrite").save())
