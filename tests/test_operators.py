@@ -654,3 +654,10 @@ def test_named_rows_are_found_without_the_master(spark):
     out = resolve.apply_overrides(master, spark.createDataFrame([(9, 1)], "parent int, season int"), rules, rows)
     assert sorted((r.row_id, r.parent, r.note, r.overridden) for r in out.collect()) == [(0, None, None, 0), (1, 9, "by title", 1), (2, 9, "decided by hand", 1)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_summary_counts_every_stage(spark):
+    rows = [(1, 1, "single_candidate"), (1, 1, "year_consistency"), (1, 9, "title_similarity"), (0, 9, "unmatched_ambiguous"), (0, None, "unmatched_no_candidate"), (1, 13, "single_candidate")]
+    got = {r.metric: r.value for r in resolve.match_summary(spark.createDataFrame(rows, "matched int, stage int, method string")).collect()}
+    want = {f"matched_stage_{n}": 0.0 for n in (*range(1, 10), 11, 12, 13)} | {"matched_stage_1": 2.0, "matched_stage_9": 1.0, "matched_stage_13": 1.0}
+    assert got == want | {"rows": 6.0, "matched": 4.0, "match_rate": 0.666667, "ambiguous": 1.0}
